@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +39,9 @@ def pack(df: DataFrame, **columns: str) -> DataFrame:
 
 def unpack(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
+
+
+def slices(batch: pa.RecordBatch, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, so that what a worker makes of one stays small."""
+    for k in range(0, batch.num_rows, most_rows):
+        yield batch.slice(k, most_rows)
