@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.bpe import bpe_encode
 from quarry.llm.quality import quality_rules
+from quarry.llm.simhash import near_duplicates
 from quarry.plans.shared import table
 
 
@@ -36,9 +37,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
+    "op4_simhash": op4_simhash,
 }
 
 SQL: dict[str, str] = {}
