@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import bpe_encode
+from quarry.llm.common import fold
+from quarry.llm.langid import identify
 from quarry.llm.quality import quality_rules
 from quarry.llm.simhash import near_duplicates
 from quarry.plans.shared import table
@@ -42,10 +44,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    out = identify(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), ~held_out)
+    return out.select("_row.doc_id", "lang_pred", "score").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op4_simhash": op4_simhash,
+    "op6_language": op6_language,
 }
 
 SQL: dict[str, str] = {}
