@@ -12,6 +12,7 @@ from quarry.llm.common import fold
 from quarry.llm.langid import identify
 from quarry.llm.quality import quality_rules
 from quarry.llm.simhash import near_duplicates
+from quarry.llm.toxicity import learn_lexicon, score_toxicity
 from quarry.plans.shared import table
 
 
@@ -51,11 +52,20 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("_row.doc_id", "lang_pred", "score").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    lexicon = learn_lexicon(docs, table(spark, sf_dir, "labels"), ~held_out)
+    out = score_toxicity(docs, lexicon).select("_row.doc_id", "score", "n_hits")
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_hits")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op4_simhash": op4_simhash,
     "op6_language": op6_language,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {}
