@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.bpe import bpe_encode
 from quarry.llm.common import fold
+from quarry.llm.decontaminate import leaks
 from quarry.llm.langid import identify
 from quarry.llm.quality import quality_rules
 from quarry.llm.simhash import near_duplicates
@@ -60,10 +61,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_hits")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with its leaked items; clean documents have an empty list."""
+    out = leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    own = out.select("_row.doc_id", "leaks")
+    return own.select("doc_id", F.array_sort(F.array_distinct("leaks.item_id")).alias("item_ids"), (F.size("leaks") > 0).alias("contaminated"), "leaks")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op4_simhash": op4_simhash,
+    "op5_decontaminate": op5_decontaminate,
     "op6_language": op6_language,
     "op10_toxicity": op10_toxicity,
 }
