@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,8 +10,11 @@ from pyspark.sql import functions as F
 
 #: White space of the word rule [^\x20\x09-\x0D]+.
 SPACE = " \t\n\x0b\x0c\r"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER_AZ = {c: c + 32 for c in range(65, 91)}
+
+
+def word_bytes(text: str | None) -> list[bytes]:
+    """UTF-8 words of a text with A-Z lower-cased: bytes.lower() and bytes.split() know ASCII alone, which is the rule."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def fold(column: Column, parts: int) -> Column:

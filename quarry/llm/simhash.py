@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quarry.llm.common import LOWER_AZ, WORD, slices
+from quarry.llm.common import slices, word_bytes
 from quarry.plans.components import connected_components
 from quarry.plans.shared import shared_table
 
@@ -37,12 +37,12 @@ MAX_BUCKET = 64
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     """XXH64 of each shingle of the lower-cased words, repeats included."""
-    words = WORD.findall((text or "").translate(LOWER_AZ))
+    words = word_bytes(text)
     if len(words) <= size:
-        joined = [" ".join(words)] if words else []
+        joined = [b" ".join(words)] if words else []
     else:
-        joined = [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
-    return np.fromiter((xxh64_intdigest(s.encode(), SEED) for s in joined), np.uint64, len(joined))
+        joined = [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
+    return np.fromiter((xxh64_intdigest(s, SEED) for s in joined), np.uint64, len(joined))
 
 
 def majority_bits(hashes: np.ndarray) -> int:
