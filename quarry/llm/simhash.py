@@ -32,7 +32,7 @@ from quarry.plans.shared import shared_table
 
 SEED = 42
 #: Members of a variant up to which its members are compared with each other.
-MAX_BUCKET = 64
+MAX_BUCKET = 4
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -90,7 +90,8 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     sizes = shared_table(sizes)
     close = F.expr("bit_count(u ^ v)") <= max_bits
     two = sizes.where("n = 2").select("u", "v").where(close)
-    more = variants.join(sizes.where("n > 2").select("variant", "n"), "variant")
+    # a merge join at every size: what is shuffled is then in proportion to the fingerprints
+    more = variants.join(sizes.where("n > 2").select("variant", "n").hint("merge"), "variant")
     some = more.where(F.col("n") <= MAX_BUCKET).groupBy("variant").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     pairs = some.select(F.posexplode("fps").alias("i", "u"), "fps").select("u", F.explode(F.expr("slice(fps, i + 2, size(fps))")).alias("v")).where(close)
     hot = more.where(F.col("n") > MAX_BUCKET).select("fp").distinct()
