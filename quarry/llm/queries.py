@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from quarry.llm.bpe import bpe_encode
 from quarry.llm.common import fold
+from quarry.llm.chat import perspectives
 from quarry.llm.decontaminate import leaks
 from quarry.llm.langid import identify
+from quarry.llm.lm import lm_score
 from quarry.llm.quality import quality_rules
 from quarry.llm.simhash import near_duplicates
 from quarry.llm.toxicity import learn_lexicon, score_toxicity
+from quarry.llm.warc import archive_folder, read_warc, write_warc
+from quarry.llm.wrappers import main_text
 from quarry.plans.shared import table
 
 
@@ -68,12 +72,41 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", F.array_sort(F.array_distinct("leaks.item_id")).alias("item_ids"), (F.size("leaks") > 0).alias("contaminated"), "leaks")
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    out = lm_score(docs, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = archive_folder(spark)
+    write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    out = read_warc(spark, folder)
+    return out.select(
+        F.col("page").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to"
+    )
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("_row.page_id", "_row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
+    "op3_lm": op3_lm,
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op6_language": op6_language,
+    "op7_warc": op7_warc,
+    "op8_chat": op8_chat,
+    "op9_main_text": op9_main_text,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -115,3 +148,26 @@ SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
   NOT base_failed AND NOT coalesce(host_rejected, FALSE) AS kept, host_docs, host_failed
 FROM f LEFT JOIN verdict v ON f.source = v.source
 """
+
+SQL["op8_chat"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+), p AS (
+  SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'
+), s AS (
+  SELECT t.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), l AS (
+  SELECT *, '<|im_start|>' || role || chr(10) || CASE WHEN role = 'user' THEN speaker || ': ' ELSE '' END AS lead FROM s
+), r AS (
+  SELECT *, lead || text || '<|im_end|>' || chr(10) AS rendered FROM l
+), w AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text) - 1 AS seq,
+    coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM r
+)
+SELECT conv_id, perspective, CAST(seq AS BIGINT) AS seq, turn, speaker, role, rendered, CAST(start AS BIGINT) AS start,
+  CAST(CASE WHEN speaker = perspective THEN start + length(lead) END AS BIGINT) AS train_start,
+  CAST(CASE WHEN speaker = perspective THEN start + length(rendered) - 1 END AS BIGINT) AS train_end
+FROM w
+"""

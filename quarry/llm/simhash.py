@@ -11,6 +11,12 @@ d bits if and only if the balls of radius ceil(d / 2) and floor(d / 2) round the
 grouped by the 65 values of the ball of radius one, in which all members of a group are linked, and one link a member
 to the group's least says so. No link is lost, and work grows with the number of fingerprints, not of pairs.
 
+Links of two or three bits stand for a similarity of about 0.95 or more. ``similar_groups`` is for a given similarity of the
+sets of shingles: it verifies the SimHash links, and further candidates from bands of minimum hashes, since no number of bits
+that deletion variants can reach holds all pairs of similarity 0.8. In a bucket of a band, members are not paired with each
+other but with two of them, the one that shares most buckets with others and the first; buckets of up to MAX_BUCKET members
+pair all.
+
 Defined results: null, empty and wordless texts have fingerprint zero, linked like any other; a text of fewer words than
 a shingle is one shingle; repeated rows share their class; rows with a null id are fingerprinted and never name a class
 unless no other member has an id; an empty table gives no rows.
@@ -122,3 +128,96 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = shared_table(placed.select("fp", "root").join(classes, "root").select("fp", "component_id"))
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Bands and hashes a band; a pair of similarity 0.8 shares one with probability 1 - 7e-5. Hashes of a set that are kept to verify.
+BANDS, ROWS, SKETCH = 24, 5, 512
+
+
+def band_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of ROWS minimum hashes for each band."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 2048):
+        low = np.minimum(low, (hashes[k : k + 2048, None] * a + b).min(0))
+    return np.array([xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(low.reshape(BANDS, ROWS))], np.uint64)
+
+
+def sketches(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
+    """docs has rid. Returns rid, fp, sig (a hash of the set of shingles), keys of the bands, and the SKETCH least hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        random = np.random.default_rng(SEED)
+        a = random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        b = random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+        for batch in batches:
+            for part in slices(batch):
+                fps, sigs, keys, least = [], [], [], []
+                for t in part.column("text").to_pylist():
+                    hashes = shingle_hashes(t, shingle)
+                    own = np.unique(hashes)
+                    fps.append(majority_bits(hashes))
+                    sigs.append(xxh64_intdigest(own.tobytes(), SEED))
+                    keys.append(band_keys(own, a, b).view(np.int64))
+                    least.append((own[:SKETCH] >> np.uint64(1)).astype("<u8").tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("rid"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sigs, np.uint64).view(np.int64)),
+                     pa.array(keys, pa.list_(pa.int64())), pa.array(least, pa.binary())],
+                    ["rid", "fp", "sig", "keys", "least"],
+                )
+
+    rows = docs.select("rid", F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(run, "rid long, fp long, sig long, keys array<long>, least binary")
+
+
+def jaccard(x: bytes, y: bytes) -> float:
+    """Similarity of two sets from their SKETCH least hashes: exact for sets of up to that size, else of the least of their union."""
+    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    union = np.union1d(a, b)
+    if max(len(a), len(b)) >= SKETCH:
+        union = union[:SKETCH]
+    return float(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True).size / len(union))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
+    """Returns _row (the row of docs), component_id (the least id of the row's group) and stays (one row of each group).
+
+    Rows with the same set of shingles meet in its hash, so only distinct sets are compared. Ids may repeat or be null: rows are
+    told apart by an id of the written copy of docs.
+    """
+    rows = shared_table(docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumn("rid", F.monotonically_increasing_id()))
+    marked = shared_table(sketches(rows, "text", shingle))
+    sets = shared_table(marked.groupBy("sig").agg(F.min_by(F.struct("fp", "keys", "least"), "rid").alias("s")).select("sig", "s.*"))
+    bands = sets.select("sig", F.posexplode("keys").alias("band", "key"))
+    sizes = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    members = shared_table(bands.join(sizes.hint("merge"), ["band", "key"]))
+    degree = members.groupBy("sig").agg(F.sum("n").alias("degree"))
+    ranked = members.join(degree.hint("merge"), "sig")
+    buckets = ranked.groupBy("band", "key").agg(F.max_by("sig", F.struct("degree", "sig")).alias("hub"), F.min("sig").alias("first"))
+    starred = members.join(buckets.hint("merge"), ["band", "key"])
+    stars = starred.select("sig", F.explode(F.array_distinct(F.array("hub", "first"))).alias("other"))
+    small = members.where(F.col("n") <= MAX_BUCKET).groupBy("band", "key").agg(F.collect_list("sig").alias("sigs"))
+    few = small.select(F.explode("sigs").alias("sig"), "sigs").select("sig", F.explode("sigs").alias("other"))
+    by_fp = shared_table(sets.groupBy("fp").agg(F.min("sig").alias("first")))
+    near = links(by_fp.select("fp"), max_bits)
+    same_fp = sets.join(by_fp, "fp").select("sig", F.col("first").alias("other"))
+    first = by_fp.select(F.col("fp").alias("f"), F.col("first").alias("s"))
+    near = near.join(first, F.col("u") == F.col("f")).select("v", F.col("s").alias("sig")).join(first, F.col("v") == F.col("f")).select("sig", F.col("s").alias("other"))
+    pairs = stars.unionByName(few).unionByName(same_fp).unionByName(near).where("sig <> other")
+    pairs = pairs.select(F.least("sig", "other").alias("u"), F.greatest("sig", "other").alias("v")).distinct()
+    least = sets.select("sig", "least")
+    both = pairs.join(least.select(F.col("sig").alias("u"), F.col("least").alias("x")).hint("merge"), "u")
+    both = both.join(least.select(F.col("sig").alias("v"), F.col("least").alias("y")).hint("merge"), "v")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [jaccard(x, y) >= similarity for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(good)), batch.column("v").filter(pa.array(good))], ["u", "v"])
+
+    roots = connected_components(both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"))
+    grouped = marked.select("rid", "sig").join(roots, F.col("sig") == F.col("node"), "left").select("rid", F.coalesce("root", "sig").alias("root"))
+    placed = shared_table(rows.select("rid", "id").join(grouped, "rid"))
+    heads = shared_table(placed.groupBy("root").agg(F.min("id").alias("component_id"), F.min_by("rid", F.struct(F.col("id").isNull(), "id", "rid")).alias("head")))
+    chosen = placed.join(heads, "root").select("rid", "component_id", (F.col("rid") == F.col("head")).alias("stays"))
+    return rows.join(shared_table(chosen), "rid").select("_row", "component_id", "stays")
