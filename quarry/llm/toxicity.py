@@ -174,7 +174,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col
     # the rank is over labels whose document may be learned from
     able = marked.join(rows.select("id").distinct(), "id", "left_semi")
     chosen = able.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_docs).select("id", "y")
-    sample = shared_table(rows.where("text is not null").join(chosen, "id").select("y", "text").distinct())
+    # at most 2 sample_docs ids, whatever the input: the texts stay where they are until the sample is picked
+    sample = shared_table(rows.where("text is not null").join(F.broadcast(chosen), "id").select("y", "text").distinct())
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic:
