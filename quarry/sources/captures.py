@@ -21,7 +21,7 @@ def sentinels_back(df: DataFrame, by: dict[str, str]) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str, schema: StructType, lines: bool = False) -> DataFrame:
     """A JSON document or JSON lines with a given schema; what does not parse stands in _corrupt and is never dropped."""
-    with_corrupt = StructType(schema.fields).add("_corrupt", "string")
+    with_corrupt = StructType([*schema.fields]).add("_corrupt", "string")
     return spark.read.schema(with_corrupt).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
