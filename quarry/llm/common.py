@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: White space of the word rule [^\x20\x09-\x0D]+.
@@ -47,3 +47,16 @@ def slices(batch: pa.RecordBatch, most_rows: int = 512) -> Iterator[pa.RecordBat
     """Parts of a batch, so that what a worker makes of one stays small."""
     for k in range(0, batch.num_rows, most_rows):
         yield batch.slice(k, most_rows)
+
+
+def hash_sample(rows: DataFrame, group: str, key: str, most: int, salts: int = 64) -> DataFrame:
+    """At most ``most`` rows of each group, those with the least hash of the key.
+
+    Ranked in each of the group's salted parts first, so that no task gets a whole hot group; the second ranking gets
+    salts x most rows of a group at most. Both limits are taken before Spark shuffles.
+    """
+    hashed = rows.withColumn("_h", F.xxhash64(F.col(key).cast("string")))
+    parts = Window.partitionBy(group, F.pmod("_h", F.lit(salts))).orderBy("_h", key)
+    some = hashed.withColumn("_r", F.row_number().over(parts)).where(F.col("_r") <= most).drop("_r")
+    whole = Window.partitionBy(group).orderBy("_h", key)
+    return some.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= most).drop("_r", "_h")

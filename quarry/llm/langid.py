@@ -24,10 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import pack, slices
+from quarry.llm.common import hash_sample, pack, slices
 
 LETTERS = regex.compile(r"\p{L}+")
 #: Longest piece in bytes that is used, EM rounds, smoothing mass of each single byte, and least expected count kept.
@@ -183,8 +183,7 @@ def learn_languages(docs: DataFrame, path: str, id_col: str, text: str, lang: st
     """
     rows = docs.where(learn_from).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-    chosen = rows.select("id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_docs).select("id", "lang").distinct()
+    chosen = hash_sample(rows.select("id", "lang"), "lang", "id", sample_docs).distinct()
     sample = rows.join(chosen, ["id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

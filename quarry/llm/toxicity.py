@@ -26,10 +26,10 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import pack, slices
+from quarry.llm.common import hash_sample, pack, slices
 from quarry.plans.shared import shared_table
 
 # Cyrillic and Greek letters that look like Latin ones, and characters that stand for letters in a word.
@@ -168,12 +168,11 @@ def choose(counts: dict[str, tuple[int, int]], found: list[list[str]], toxic: in
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: int = 6000) -> Lexicon:
     """learn_from: which rows of docs may be learned from. What reaches the driver is bounded by the sample and by CANDIDATES."""
-    first = Window.partitionBy("y").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
     marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where("id is not null and y in (0, 1)")
     rows = docs.where(learn_from).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     # the rank is over labels whose document may be learned from
     able = marked.join(rows.select("id").distinct(), "id", "left_semi")
-    chosen = able.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_docs).select("id", "y")
+    chosen = hash_sample(able, "y", "id", sample_docs)
     # at most 2 sample_docs ids, whatever the input: the texts stay where they are until the sample is picked
     sample = shared_table(rows.where("text is not null").join(F.broadcast(chosen), "id").select("y", "text").distinct())
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
