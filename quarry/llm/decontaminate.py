@@ -32,8 +32,7 @@ from quarry.llm.common import pack, slices
 
 MAX_ITEM_CHARS = 50_000_000
 LEAST_GRAMS = 4
-BITS = 22
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+_MULT, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x9E3779B1)
 
 
 def folded(text: str | None) -> str:
@@ -41,21 +40,39 @@ def folded(text: str | None) -> str:
 
 
 def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def grams(points: np.ndarray, q: int) -> np.ndarray:
-    """Hash of each q-gram."""
-    n = len(points) - q + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
+def grams(points: np.ndarray, q: int, at: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of each q-gram, or of those at some positions."""
+    at = np.arange(max(0, len(points) - q + 1)) if at is None else at
+    h = np.zeros(len(at), np.uint64)
     for k in range(q):
-        h *= _MULT
-        h += points[k : k + n] + np.uint64(1)
+        h = h * _MULT + points[at + k].astype(np.uint64) + np.uint64(1)
     return h ^ (h >> np.uint64(29))
 
 
+def slots(points: np.ndarray, q: int, bits: int) -> np.ndarray:
+    """A slot of 2^bits for each q-gram, q a power of two: q-grams are put together from halves."""
+    h = points.astype(np.uint32)
+    width = 1
+    while width < q:
+        h = h[:-width] * _HALF + h[width:]
+        width *= 2
+    h ^= h >> np.uint32(15)
+    h *= _HALF
+    h >>= np.uint32(32 - bits)
+    return h
+
+
+def exact_within(item: np.ndarray, region: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
+    """The item without edits on one of the diagonals."""
+    for at in range(max(0, low), min(high, len(region) - len(item)) + 1):
+        if region[at] == item[0] and np.array_equal(region[at : at + len(item)], item):
+            return 0, at, at + len(item)
+    return None
+
+
 def distance_within(item: np.ndarray, region: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
     """Least edits of the whole item against any part of region, on diagonals low..high (region less item position).
 
@@ -101,6 +118,10 @@ class Index:
     edit_rate: float = 0.1
     passage: int = 200
 
+    def __post_init__(self) -> None:
+        if self.q & (self.q - 1) or self.q < 2:
+            raise ValueError("q must be a power of two")
+
     def __getstate__(self) -> dict:
         return {k: getattr(self, k) for k in ("items", "q", "edit_rate", "passage")}
 
@@ -129,8 +150,10 @@ class Index:
         place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         order = np.argsort(flat, kind="stable")
         keys, first, times = np.unique(flat[order], return_index=True, return_counts=True)
-        mask = np.zeros(1 << BITS, bool)
-        mask[(keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        # a filter with sixteen slots a q-gram before the exact look-up
+        mask = np.zeros(1 << min(28, max(16, (16 * len(keys)).bit_length())), bool)
+        for p in passages:
+            mask[slots(p[2], self.q, len(mask).bit_length() - 1)] = True
         edits = np.array([p[3] for p in passages], np.int64)
         need = np.maximum(1, np.array([len(p[2]) for p in passages], np.int64) + 1 - self.q - self.q * edits)
         return passages, tiny, keys, first, times, owner[order], place[order], mask, edits, need
@@ -146,12 +169,17 @@ class Index:
                 found.append((k, at, at + len(item), 0))
                 at = padded.find(f" {item} ", at + 1)
         points = code_points(text)
-        own = grams(points, self.q)
-        near = np.flatnonzero(mask[(own >> np.uint64(64 - BITS)).astype(np.int64)]) if len(own) and len(keys) else np.empty(0, np.int64)
+        near = np.empty(0, np.int64)
+        if len(points) >= self.q and len(keys):
+            bits = len(mask).bit_length() - 1
+            # in parts that stay in the caches
+            parts = [np.flatnonzero(mask[slots(points[a : a + (1 << 15) + self.q - 1], self.q, bits)]) + a for a in range(0, len(points) - self.q + 1, 1 << 15)]
+            near = np.concatenate(parts)
         if len(near):
-            slot = np.searchsorted(keys, own[near])
+            own = grams(points, self.q, near)
+            slot = np.searchsorted(keys, own)
             slot[slot == len(keys)] = 0
-            hit = keys[slot] == own[near]
+            hit = keys[slot] == own
             near, slot = near[hit], slot[hit]
         if len(near):
             found += self._regions(points, near, slot)
@@ -176,12 +204,18 @@ class Index:
         starts = np.flatnonzero(new)
         count = np.add.reduceat(distinct.astype(np.int64), starts)
         out = []
-        for w, b in zip(who[starts[count >= need[who[starts]]]].tolist(), bands[starts[count >= need[who[starts]]]].tolist(), strict=True):
-            item, offset, part, e = passages[w]
+        enough = starts[count >= need[who[starts]]]
+        found = (-1, 0)  # passage and band of the last find: the next band holds the same diagonals again
+        for w, b in zip(who[enough].tolist(), bands[enough].tolist(), strict=True):
+            if found == (w, b - 1):
+                continue
+            item, _, part, e = passages[w]
             low = b * (e + 1)
-            got = distance_within(part, points, low, low + 2 * (e + 1) - 1, e)
+            high = low + 2 * (e + 1) - 1
+            got = exact_within(part, points, low, high) or distance_within(part, points, low, high, e)
             if got:
                 out.append((item, got[1], got[2], got[0]))
+                found = (w, b)
         return out
 
     @staticmethod

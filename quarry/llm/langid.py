@@ -100,19 +100,19 @@ def forward(words: list[bytes], keys: np.ndarray, probs: np.ndarray) -> np.ndarr
         lengths = np.array([len(w) for w in own])
         ring = np.zeros((MAX_PIECE + 1, len(own), probs.shape[1]))
         ring[0] = 1.0
-        scale = np.zeros(len(own))
-        total = np.zeros((len(own), probs.shape[1]))
+        scale = np.zeros((len(own), probs.shape[1]))
+        total = np.zeros_like(scale)
 
         def close(end: int, ring: np.ndarray = ring, scale: np.ndarray = scale, total: np.ndarray = total, lengths: np.ndarray = lengths) -> None:
             now = ring[end % (MAX_PIECE + 1)]
-            top = now.max(1)
-            small = np.flatnonzero((top < 1e-100) & (top > 0) & (lengths >= end))
-            if len(small):  # rescale what may run below the smallest number
-                ring[:, small] /= top[small][None, :, None]
-                scale[small] += np.log(top[small])
             done = np.flatnonzero(lengths == end)
             with np.errstate(divide="ignore"):
-                total[done] = np.log(ring[end % (MAX_PIECE + 1), done]) + scale[done][:, None]
+                total[done] = np.log(now[done]) + scale[done]
+            small = np.flatnonzero((now.min(1) < 1e-100) & (lengths > end))
+            if len(small):  # rescale each language before it runs below the smallest number
+                by = np.where((now[small] < 1e-100) & (now[small] > 0), now[small], 1.0)
+                ring[:, small] /= by[None]
+                scale[small] += np.log(by)
 
         last = 0
         for end, back, rows, piece in _lattice(own, keys):

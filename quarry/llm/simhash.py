@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quarry.llm.common import slices, word_bytes
+from quarry.llm.common import pack, slices, word_bytes
 from quarry.plans.components import connected_components
 from quarry.plans.shared import shared_table
 
@@ -142,8 +142,9 @@ def band_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(low.reshape(BANDS, ROWS))], np.uint64)
 
 
-def sketches(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
-    """docs has rid. Returns rid, fp, sig (a hash of the set of shingles), keys of the bands, and the SKETCH least hashes."""
+def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """docs has rid and text. Returns rid, fp, sig (a hash of the set of shingles), keys of the bands, and the upper halves of the SKETCH least
+    hashes, which tell two shingles apart but once in millions of pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = np.random.default_rng(SEED)
@@ -158,20 +159,19 @@ def sketches(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame
                     fps.append(majority_bits(hashes))
                     sigs.append(xxh64_intdigest(own.tobytes(), SEED))
                     keys.append(band_keys(own, a, b).view(np.int64))
-                    least.append((own[:SKETCH] >> np.uint64(1)).astype("<u8").tobytes())
+                    least.append((own[: 2 * SKETCH] >> np.uint64(32)).astype("<u4")[:SKETCH].tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("rid"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sigs, np.uint64).view(np.int64)),
                      pa.array(keys, pa.list_(pa.int64())), pa.array(least, pa.binary())],
                     ["rid", "fp", "sig", "keys", "least"],
                 )
 
-    rows = docs.select("rid", F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, "rid long, fp long, sig long, keys array<long>, least binary")
+    return docs.select("rid", "text").mapInArrow(run, "rid long, fp long, sig long, keys array<long>, least binary")
 
 
 def jaccard(x: bytes, y: bytes) -> float:
     """Similarity of two sets from their SKETCH least hashes: exact for sets of up to that size, else of the least of their union."""
-    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    a, b = np.unique(np.frombuffer(x, "<u4")), np.unique(np.frombuffer(y, "<u4"))
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     union = np.union1d(a, b)
@@ -186,9 +186,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Rows with the same set of shingles meet in its hash, so only distinct sets are compared. Ids may repeat or be null: rows are
     told apart by an id of the written copy of docs.
     """
-    rows = shared_table(docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumn("rid", F.monotonically_increasing_id()))
-    marked = shared_table(sketches(rows, "text", shingle))
-    sets = shared_table(marked.groupBy("sig").agg(F.min_by(F.struct("fp", "keys", "least"), "rid").alias("s")).select("sig", "s.*"))
+    rows = shared_table(pack(docs).withColumn("rid", F.monotonically_increasing_id()))
+    marked = shared_table(sketches(rows.select("rid", F.col("_row").getField(text).alias("text")), shingle))
+    sets = shared_table(marked.groupBy("sig").agg(F.min("rid").alias("rid"), F.min_by(F.struct("fp", "keys"), "rid").alias("s")).select("sig", "rid", "s.*"))
     bands = sets.select("sig", F.posexplode("keys").alias("band", "key"))
     sizes = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = shared_table(bands.join(sizes.hint("merge"), ["band", "key"]))
@@ -206,9 +206,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     near = near.join(first, F.col("u") == F.col("f")).select("v", F.col("s").alias("sig")).join(first, F.col("v") == F.col("f")).select("sig", F.col("s").alias("other"))
     pairs = stars.unionByName(few).unionByName(same_fp).unionByName(near).where("sig <> other")
     pairs = pairs.select(F.least("sig", "other").alias("u"), F.greatest("sig", "other").alias("v")).distinct()
-    least = sets.select("sig", "least")
-    both = pairs.join(least.select(F.col("sig").alias("u"), F.col("least").alias("x")).hint("merge"), "u")
-    both = both.join(least.select(F.col("sig").alias("v"), F.col("least").alias("y")).hint("merge"), "v")
+    pairs = shared_table(pairs)
+    # only the sets in pairs bring their hashes
+    wanted = pairs.select(F.col("u").alias("sig")).unionByName(pairs.select(F.col("v").alias("sig"))).distinct()
+    least = shared_table(marked.select("rid", "least").join(sets.select("sig", "rid").join(wanted, "sig", "left_semi"), "rid").select("sig", "least"))
+    both = pairs.join(least.select(F.col("sig").alias("u"), F.col("least").alias("x")), "u").join(least.select(F.col("sig").alias("v"), F.col("least").alias("y")), "v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +219,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     roots = connected_components(both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"))
     grouped = marked.select("rid", "sig").join(roots, F.col("sig") == F.col("node"), "left").select("rid", F.coalesce("root", "sig").alias("root"))
-    placed = shared_table(rows.select("rid", "id").join(grouped, "rid"))
+    placed = shared_table(rows.select("rid", F.col("_row").getField(id_col).alias("id")).join(grouped, "rid"))
     heads = shared_table(placed.groupBy("root").agg(F.min("id").alias("component_id"), F.min_by("rid", F.struct(F.col("id").isNull(), "id", "rid")).alias("head")))
     chosen = placed.join(heads, "root").select("rid", "component_id", (F.col("rid") == F.col("head")).alias("stays"))
     return rows.join(shared_table(chosen), "rid").select("_row", "component_id", "stays")
