@@ -230,11 +230,13 @@ class Scorer:
         return self.kept, self.table
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if not self.languages:
+            return ["und"] * len(texts), [0.0] * len(texts)
         found = [LETTERS.findall((t or "").lower()) for t in texts]
         where, table = self._rows(set().union(*found))
         langs, scores = [], []
         for words in found:
-            if not words or not self.languages:
+            if not words:
                 langs.append("und")
                 scores.append(0.0)
                 continue
