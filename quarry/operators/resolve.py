@@ -54,3 +54,15 @@ def remap(facts: DataFrame, column: str, canonical: DataFrame) -> DataFrame:
     """Foreign keys replaced by their canonical id; others stay."""
     names = canonical.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
     return facts.join(names, F.col(column) == F.col("_node"), "left").withColumn(column, F.coalesce("_root", column)).drop("_node", "_root")
+
+
+def author_matches(records: DataFrame, roster: DataFrame, least: float = 0.55) -> DataFrame:
+    """(record_id, person_id, score): shared tokens by the longer name's, 0.2 each for the last name and the scope, 1 at most.
+
+    Names that share no last token cannot reach the bound without sharing most tokens; the join is on the last token.
+    """
+    named = lambda df, k, n: df.select(k, F.col("scope").alias(f"scope_{n}"), F.array_distinct(name_tokens(F.col("name"))).alias(n), F.element_at(F.when(F.size(name_tokens(F.col("name"))) > 0, name_tokens(F.col("name"))), -1).alias("last"))
+    pairs = named(records, "record_id", "a").join(named(roster, "person_id", "b"), "last")
+    overlap = F.size(F.array_intersect("a", "b")) / F.greatest(F.size("a"), F.size("b"))
+    score = F.least(F.lit(1.0), overlap + 0.2 + F.when(F.col("scope_a") == F.col("scope_b"), 0.2).otherwise(0.0))
+    return pairs.select("record_id", "person_id", F.round(score, 6).alias("score")).where(F.col("score") >= least)

@@ -372,6 +372,57 @@ def alias_fk_remap(spark, sf):
     return moved.groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+@query(
+    """SELECT a.c_custkey AS left_key, b.c_custkey AS right_key FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment
+    AND floor(a.c_acctbal / 10) = floor(b.c_acctbal / 10) AND a.c_custkey < b.c_custkey"""
+)
+def blocked_identity_join(spark, sf):
+    """Pairs for review: records of one block whose identifying values agree."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 10).alias("band"))
+    left = rows.withColumnRenamed("c_custkey", "left_key")
+    return left.join(rows.withColumnRenamed("c_custkey", "right_key"), ["c_nationkey", "c_mktsegment", "band"]).where("left_key < right_key").select("left_key", "right_key")
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS record_id, c_nationkey AS scope, list_distinct(string_split(lower(trim(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')) AS t,
+      string_split(lower(trim(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')[-1] AS last FROM customer),
+    s AS (SELECT s_suppkey AS person_id, s_nationkey AS scope, list_distinct(string_split(lower(trim(regexp_replace(s_name, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')) AS t,
+      string_split(lower(trim(regexp_replace(s_name, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')[-1] AS last FROM supplier),
+    j AS (SELECT record_id, person_id, round(least(1.0, len(list_intersect(c.t, s.t)) / greatest(len(c.t), len(s.t)) + 0.2 + CASE WHEN c.scope = s.scope THEN 0.2 ELSE 0 END), 6) AS score
+      FROM c JOIN s ON c.last = s.last) SELECT * FROM j WHERE score >= 0.55"""
+)
+def author_match_score(spark, sf):
+    records = table(spark, sf, "customer").select(F.col("c_custkey").alias("record_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("scope"))
+    roster = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("person_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("scope"))
+    return resolve.author_matches(records, roster)
+
+
+@query(
+    """SELECT 'both' AS side, c_nationkey AS nation FROM (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier)
+    UNION ALL SELECT 'customers only', c_nationkey FROM (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000 EXCEPT SELECT s_nationkey FROM supplier)
+    UNION ALL SELECT 'suppliers only', s_nationkey FROM (SELECT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)"""
+)
+def set_operations(spark, sf):
+    left = table(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation"))
+    right = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"))
+    parts = {"both": left.intersect(right), "customers only": left.subtract(right), "suppliers only": right.subtract(left)}
+    named = [df.select(F.lit(k).alias("side"), "nation") for k, df in parts.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+@query(
+    """WITH o AS (SELECT c_nationkey AS key, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1), w AS (SELECT s_nationkey AS key, count(*) AS n FROM supplier GROUP BY 1)
+    SELECT coalesce(o.key, w.key) AS key, o.n AS before, w.n AS after, CASE WHEN o.n IS NULL THEN 'added' WHEN w.n IS NULL THEN 'removed' WHEN o.n = w.n THEN 'same' ELSE 'changed' END AS change
+    FROM o FULL JOIN w ON o.key = w.key"""
+)
+def plan_history_full_outer(spark, sf):
+    """Two versions of a plan side by side: nothing of either is lost."""
+    old = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("key")).agg(F.count("*").alias("before"))
+    new = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("key")).agg(F.count("*").alias("after"))
+    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") == F.col("after"), "same").otherwise("changed")
+    return old.join(new, "key", "full").withColumn("change", change)
+
+
 # --- validation
 
 
@@ -390,16 +441,16 @@ def rule_violations_report(spark, sf):
 
 
 @query(
-    """SELECT s_suppkey AS key, '' AS field, 'removed' AS change FROM supplier WHERE s_suppkey % 10 = 3
-    UNION ALL SELECT s_suppkey, 's_name', 'lost' FROM supplier WHERE s_suppkey % 10 <> 3 AND s_suppkey % 7 = 1 AND s_name IS NOT NULL
-    UNION ALL SELECT s_suppkey, 's_acctbal', 'changed' FROM supplier WHERE s_suppkey % 10 <> 3 AND s_suppkey % 5 = 2 AND s_acctbal IS NOT NULL"""
+    """SELECT s_suppkey AS key, '' AS field, 'removed' AS change FROM supplier WHERE s_acctbal < 0
+    UNION ALL SELECT s_suppkey, 's_name', 'lost' FROM supplier WHERE s_acctbal >= 0 AND s_nationkey < 5 AND s_name IS NOT NULL
+    UNION ALL SELECT s_suppkey, 's_acctbal', 'changed' FROM supplier WHERE s_acctbal > 5000"""
 )
 def preservation_audit(spark, sf):
-    """A copy of the suppliers that lost records, names and balances, against the whole baseline."""
+    """A rebuilt copy of all suppliers that lost the indebted, some names and some balances, against the whole baseline."""
     base = table(spark, sf, "supplier")
-    key = F.col("s_suppkey")
-    now = base.where(key % 10 != 3).withColumns({"s_name": F.when(key % 7 != 1, F.col("s_name")), "s_acctbal": F.when(key % 5 == 2, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal"))})
-    return quality.preservation(base, now, "s_suppkey")
+    name = F.when(F.col("s_nationkey") >= 5, F.col("s_name"))
+    balance = F.when(F.col("s_acctbal") > 5000, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal"))
+    return quality.preservation(base, base.where("s_acctbal >= 0").withColumns({"s_name": name, "s_acctbal": balance}), "s_suppkey")
 
 
 @query(

@@ -61,3 +61,12 @@ def write_markdown(df: DataFrame, path: str) -> None:
     """Each row as a line of a Markdown table, without header."""
     cells = [F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in df.columns]
     df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")).write.mode("overwrite").text(path)
+
+
+def vcards(rows: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, position, name, email, url, title) of each vCard in a text."""
+    unfolded = F.regexp_replace(F.coalesce(F.col(body), F.lit("")), r"\r?\n[ \t]", "")
+    cards = F.regexp_extract_all(unfolded, F.lit(r"(?is)BEGIN:VCARD(.*?)END:VCARD"), F.lit(1))
+    each = rows.select(key, F.posexplode(cards).alias("position", "card"))
+    part = lambda p: F.nullif(F.trim(F.regexp_extract("card", rf"(?im)^{p}(?:;[^:\r\n]*)?:(.*?)\r?$", 1)), F.lit(""))
+    return each.select(key, "position", part("FN").alias("name"), F.lower(part("EMAIL")).alias("email"), part("URL").alias("url"), part("TITLE").alias("title"))

@@ -137,3 +137,9 @@ def test_robots(spark):
     body = "User-agent: x\nDisallow: /x\n\nUser-agent: *\nUser-agent: y\nDisallow: /p # c\nAllow: /p/q\n"
     rows = captures.robots_rules(spark.createDataFrame([("h", body)], "host string, body string"), "host", "body").collect()
     assert [(r["rule"], r["path"]) for r in sorted(rows, key=lambda r: r["n"])] == [("disallow", "/p"), ("allow", "/p/q")]
+
+
+def test_vcards(spark):
+    body = "BEGIN:VCARD\r\nVERSION:3.0\r\nFN:Ann Lee\r\nEMAIL;TYPE=work:A@B.edu\r\nTITLE:Long\r\n er\r\nEND:VCARD\r\n"
+    rows = captures.vcards(spark.createDataFrame([(1, body), (2, None)], "k int, body string"), "k", "body").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, "Ann Lee", "a@b.edu", None, "Longer")]
