@@ -24,7 +24,9 @@ def _latin_bases() -> tuple[str, str]:
 def fold_text(text: Column) -> Column:
     """Lower case without accents; null becomes empty."""
     letters, bases = _latin_bases()
-    return F.lower(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), letters, bases), r"\p{M}+", ""))
+    text = F.coalesce(text, F.lit(""))
+    # bytes beyond the characters: only then is there anything to fold
+    return F.lower(F.when(F.octet_length(text) > F.char_length(text), F.regexp_replace(F.translate(text, letters, bases), r"\p{M}+", "")).otherwise(text))
 
 
 def normalize(text: Column) -> Column:

@@ -27,7 +27,10 @@ def fold(value: str) -> str:
 
 
 def build_index(records: DataFrame, name: Column, area: Column, topics: Column, department: Column, text: Column) -> DataFrame:
-    return records.withColumns({"name_text": padded(name), "area_text": padded(area), "topic_text": padded(topics), "department_text": padded(department), "haystack": padded(text)})
+    """The normal forms come out of a generator, which the optimizer neither merges with what follows nor pushes filters through:
+    each is computed once a record, however many terms look into it."""
+    forms = {"name_text": name, "area_text": area, "topic_text": topics, "department_text": department, "haystack": text}
+    return records.select("*", F.inline(F.array(F.struct(*[padded(c).alias(n) for n, c in forms.items()]))))
 
 
 @dataclass

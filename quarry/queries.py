@@ -502,10 +502,11 @@ def quote_proof_check(spark, sf):
     w = F.split("quote", " ")
     # the first and the last word of a quote may be parts of words of the text
     keyed = quotes.where(F.size(w) >= 7).withColumn("key", five(w, 1))
-    grams = docs.select("capture_id", "body", F.split("body", " ").alias("w")).select(
-        "capture_id", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: five(F.col("w"), i)))).alias("key")
+    grams = docs.select("capture_id", F.split("body", " ").alias("w")).select(
+        "capture_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: five(F.col("w"), i)))).alias("key")
     )
-    found = grams.join(keyed, "key").where(F.contains("body", F.col("quote")))
+    # texts come to their few candidates, not along with their grams
+    found = grams.join(keyed, "key").select("capture_id", "quote_id", "quote").distinct().join(docs, "capture_id").where(F.contains("body", F.col("quote")))
     short = docs.join(quotes.where(F.size(w) < 7), F.contains("body", F.col("quote")))
     return found.select("quote_id", "capture_id").unionByName(short.select("quote_id", "capture_id")).select("quote_id", "capture_id", F.lit("ok").alias("status"))
 
