@@ -38,7 +38,7 @@ PIECES = regex.compile(
 )
 BEFORE_SPACE = regex.compile(rf"[{SPACES}] ")
 #: Entries of the arc table and of the word table of one worker; a full table is emptied.
-MAX_ARCS, MAX_WORDS = 1 << 20, 300_000
+MAX_ARCS, MAX_WORDS = 1 << 20, 600_000
 #: Words longer than this are not kept in the word table.
 MAX_KEPT_WORD = 64
 
@@ -104,16 +104,17 @@ class Automaton:
 
     def encode(self, word: bytes) -> bytes:
         """Ids of a pre-split word, as little-endian unsigned 32-bit integers."""
-        n, ids, target, table = len(word), self.ids, self.target, self.table
-        states, start, token = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        n, get, target, arcs, longest = len(word), self.ids.get, self.target, self.table.get, self.longest
+        states, start, token = [0], [0], [0]
         for i in range(1, n + 1):
-            for j in range(i - 1, max(0, i - self.longest) - 1, -1):
-                t = ids.get(word[j:i])
+            for j in range(i - 1, i - longest - 1 if i > longest else -1, -1):
+                t = get(word[j:i])
                 if t is not None:
-                    s = states[j]
-                    ok = table.get(s << 20 | t)
-                    if ok if ok is not None else self.has(s, t):
-                        states[i], start[i], token[i] = target[t], j, t
+                    ok = arcs(states[j] << 20 | t)
+                    if ok or (ok is None and self.has(states[j], t)):
+                        states.append(target[t])
+                        start.append(j)
+                        token.append(t)
                         break
             else:
                 raise ValueError(f"no arc for byte {word[i - 1]:#x}")
@@ -176,7 +177,11 @@ class ByteBPE:
         return b"".join(map(self._word, PIECES.findall(chunk)))
 
     def _spaced(self, chunk: str) -> bytes:
-        ids = self._chunk(" " + chunk)
+        pieces = PIECES.findall(" " + chunk)
+        if len(pieces) == 1:  # kept here, not among the words too
+            ids = self.automaton.encode(pieces[0].encode())
+        else:
+            ids = b"".join(map(self._word, pieces))
         if len(chunk) <= MAX_KEPT_WORD and "\n" not in chunk:
             if len(self.spaced) >= MAX_WORDS:
                 self.spaced.clear()
