@@ -28,10 +28,10 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import pack, slices
+from quarry.llm.common import hash_sample, pack, slices
 
 SAMPLE, MIN_CONSTANT = 12, 5
 
@@ -337,9 +337,8 @@ def host(url: Column) -> Column:
 
 def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Returns host and wrapper (JSON), one row per host."""
-    first = Window.partitionBy("host").orderBy(F.xxhash64("html"), "html")
     rows = pages.select(host(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html")).where("html is not null")
-    sample = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE).select("host", "html")
+    sample = hash_sample(rows, "host", "html", SAMPLE)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(infer(group["html"].tolist()), ensure_ascii=False)]})
