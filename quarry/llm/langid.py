@@ -184,7 +184,8 @@ def learn_languages(docs: DataFrame, path: str, id_col: str, text: str, lang: st
     rows = docs.where(learn_from).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = hash_sample(rows.select("id", "lang"), "lang", "id", sample_docs).distinct()
-    sample = rows.join(chosen, ["id", "lang"], "left_semi").select("lang", "text")
+    # at most sample_docs ids a language, whatever the input: the texts stay where they are
+    sample = rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
