@@ -13,9 +13,10 @@ to the group's least says so. No link is lost, and work grows with the number of
 
 Links of two or three bits stand for a similarity of about 0.95 or more. ``similar_groups`` is for a given similarity of the
 sets of shingles: it verifies the SimHash links, and further candidates from bands of minimum hashes, since no number of bits
-that deletion variants can reach holds all pairs of similarity 0.8. In a bucket of a band, members are not paired with each
-other but with two of them, the one that shares most buckets with others and the first; buckets of up to MAX_BUCKET members
-pair all.
+that deletion variants can reach holds all pairs of similarity 0.8. Buckets of a band of up to MAX_BUCKET members pair all. In
+a larger one, members are paired with two of them first, the one that shares most buckets with others and the first. Where the
+links so found leave a bucket's members in several groups, a similarity join with a prefix filter on rare shingles finds all
+similar pairs of these members across the groups, so no pair that shares a bucket is lost.
 
 Defined results: null, empty and wordless texts have fingerprint zero, linked like any other; a text of fewer words than
 a shingle is one shingle; repeated rows share their class; rows with a null id are fingerprinted and never name a class
@@ -180,6 +181,64 @@ def jaccard(x: bytes, y: bytes) -> float:
     return float(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True).size / len(union))
 
 
+def _sketched(pairs: DataFrame, sets: DataFrame, marked: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sig with the least hashes x and y of both; only the sets in pairs bring their hashes."""
+    wanted = pairs.select(F.col("u").alias("sig")).unionByName(pairs.select(F.col("v").alias("sig"))).distinct()
+    least = shared_table(marked.select("rid", "least").join(sets.select("sig", "rid").join(wanted, "sig", "left_semi"), "rid").select("sig", "least"))
+    return pairs.join(least.select(F.col("sig").alias("u"), F.col("least").alias("x")), "u").join(least.select(F.col("sig").alias("v"), F.col("least").alias("y")), "v")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of sig that are similar."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [jaccard(x, y) >= similarity for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(good)), batch.column("v").filter(pa.array(good))], ["u", "v"])
+
+    return _sketched(pairs, sets, marked).select("u", "v", "x", "y").mapInArrow(verify, "u long, v long")
+
+
+def _whole(sets: DataFrame, wanted: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """sig and hashes, all distinct hashes of the set, of the sets in wanted (sig). texts: rid, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                own = [np.unique(shingle_hashes(t, shingle)).astype("<u8").tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("sig"), pa.array(own, pa.binary())], ["sig", "hashes"])
+
+    rids = sets.select("sig", "rid").join(wanted, "sig", "left_semi")
+    return texts.join(rids, "rid").select("sig", "text").mapInArrow(run, "sig long, hashes binary")
+
+
+def _prefix_pairs(unsettled: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (u, v) among the sets of unsettled (sig, root) that may reach the similarity and have different roots; none that does is left out.
+
+    Sets of n and more shingles that are similar share at least similarity x n, so they share one of the first n + 1 less that of
+    each, in any order common to all. Shingles are ordered by the number of sets they are in, so those of a passage that many
+    sets share come last. Shingles of one set alone come first and are counted only.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sig, data in zip(batch.column("sig").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+                own = np.frombuffer(data, "<u8").view(np.int64)
+                for k in range(0, len(own), 1 << 16):
+                    part = own[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), sig)), pa.array(np.full(len(part), len(own))), pa.array(part)], ["sig", "n", "h"])
+
+    spelled = shared_table(_whole(sets, unsettled, texts, shingle).mapInArrow(spread, "sig long, n long, h long"))
+    often = spelled.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = spelled.join(often.hint("merge"), "h").groupBy("sig", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
+    keep = F.greatest(F.lit(0), F.size("own") - (F.ceil(F.col("n") * similarity - 1e-9) - 1)).cast("int")
+    first = ranked.select("sig", "n", F.explode(F.slice("own", 1, keep)).alias("s")).select("sig", "n", F.col("s.h").alias("h"))
+    first = shared_table(first.join(unsettled, "sig"))
+    other = first.select("h", F.col("sig").alias("v"), F.col("n").alias("m"), F.col("root").alias("r"))
+    met = first.join(other.hint("merge"), "h").where((F.col("sig") < F.col("v")) & (F.col("root") != F.col("r")))
+    return met.where(F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9).select(F.col("sig").alias("u"), "v").distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
     """Returns _row (the row of docs), component_id (the least id of the row's group) and stays (one row of each group).
 
@@ -206,18 +265,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     near = near.join(first, F.col("u") == F.col("f")).select("v", F.col("s").alias("sig")).join(first, F.col("v") == F.col("f")).select("sig", F.col("s").alias("other"))
     pairs = stars.unionByName(few).unionByName(same_fp).unionByName(near).where("sig <> other")
     pairs = pairs.select(F.least("sig", "other").alias("u"), F.greatest("sig", "other").alias("v")).distinct()
-    pairs = shared_table(pairs)
-    # only the sets in pairs bring their hashes
-    wanted = pairs.select(F.col("u").alias("sig")).unionByName(pairs.select(F.col("v").alias("sig"))).distinct()
-    least = shared_table(marked.select("rid", "least").join(sets.select("sig", "rid").join(wanted, "sig", "left_semi"), "rid").select("sig", "least"))
-    both = pairs.join(least.select(F.col("sig").alias("u"), F.col("least").alias("x")), "u").join(least.select(F.col("sig").alias("v"), F.col("least").alias("y")), "v")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [jaccard(x, y) >= similarity for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(good)), batch.column("v").filter(pa.array(good))], ["u", "v"])
-
-    roots = connected_components(both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"))
+    found = shared_table(_verified(shared_table(pairs), sets, marked, similarity))
+    roots = shared_table(connected_components(found))
+    # buckets whose members these links do not make one group: their members are compared whatever the buckets' size
+    by_fp_too = sets.select("sig", F.lit(-1).alias("band"), F.col("fp").alias("key"))
+    large = members.where(F.col("n") > MAX_BUCKET).select("sig", "band", "key").unionByName(by_fp_too)
+    rooted = large.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "band", "key", F.coalesce("root", "sig").alias("root"))
+    rooted = shared_table(rooted)
+    apart = rooted.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "key")
+    unsettled = shared_table(rooted.join(apart.hint("merge"), ["band", "key"], "left_semi").select("sig", "root").distinct())
+    if not unsettled.isEmpty():
+        texts = rows.select("rid", F.col("_row").getField(text).alias("text"))
+        more = shared_table(_prefix_pairs(unsettled, sets, texts, shingle, similarity))
+        found = found.unionByName(_verified(more, sets, marked, similarity))
+        roots = connected_components(shared_table(found))
     grouped = marked.select("rid", "sig").join(roots, F.col("sig") == F.col("node"), "left").select("rid", F.coalesce("root", "sig").alias("root"))
     placed = shared_table(rows.select("rid", F.col("_row").getField(id_col).alias("id")).join(grouped, "rid"))
     heads = shared_table(placed.groupBy("root").agg(F.min("id").alias("component_id"), F.min_by("rid", F.struct(F.col("id").isNull(), "id", "rid")).alias("head")))

@@ -316,3 +316,36 @@ def test_toxicity_edges(spark, odd, none):
     rows = toxicity.score_toxicity(odd, lexicon).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.score_toxicity(none, toxicity.learn_lexicon(none, labels, F.lit(True))).count() == 0
+
+
+def grouped(texts):
+    """Least position of each text's group, by brute force over five-word shingles at a similarity of 0.8."""
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k: find(k) for k in range(len(texts))}
+
+
+def test_similar_groups_of_a_template_family(spark):
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    template = [word() for _ in range(80)]
+    texts = []
+    for _ in range(100):
+        own = [word() for _ in range(20)]
+        texts.append(" ".join(template + own))
+        texts.append(" ".join(template + own[:10] + [word() for _ in range(10)]))
+    want = grouped(texts)
+    assert len(set(want.values())) == 100
+    rows = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["_row"]["doc_id"]: r["component_id"] for r in rows} == want
