@@ -133,6 +133,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 #: Bands and hashes a band; a pair of similarity 0.8 shares one with probability 1 - 7e-5. Hashes of a set that are kept to verify.
 BANDS, ROWS, SKETCH = 24, 5, 512
+#: What a sketch may fall short of the similarity before its pair is left out without comparing the whole sets. By Hoeffding's bound, less than
+#: exp(-2 x 512 x 0.15^2) = 1e-10 of the similar pairs do.
+MARGIN = 0.15
 
 
 def band_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -171,7 +174,7 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def jaccard(x: bytes, y: bytes) -> float:
-    """Similarity of two sets from their SKETCH least hashes: exact for sets of up to that size, else of the least of their union."""
+    """Similarity of two sets from their SKETCH least hashes: exact for sets of fewer, else an estimate from the least of their union."""
     a, b = np.unique(np.frombuffer(x, "<u4")), np.unique(np.frombuffer(y, "<u4"))
     if not len(a) or not len(b):
         return float(len(a) == len(b))
@@ -188,15 +191,34 @@ def _sketched(pairs: DataFrame, sets: DataFrame, marked: DataFrame) -> DataFrame
     return pairs.join(least.select(F.col("sig").alias("u"), F.col("least").alias("x")), "u").join(least.select(F.col("sig").alias("v"), F.col("least").alias("y")), "v")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) of sig that are similar."""
+def _verified(pairs: DataFrame, sets: DataFrame, marked: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of sig that are similar. Sets of which one is larger than a sketch are compared whole."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [jaccard(x, y) >= similarity for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(good)), batch.column("v").filter(pa.array(good))], ["u", "v"])
+            xs, ys = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            large = np.array([max(len(x), len(y)) >= 4 * SKETCH for x, y in zip(xs, ys, strict=True)], bool)
+            near = np.array([jaccard(x, y) for x, y in zip(xs, ys, strict=True)])
+            good = pa.array(near >= np.where(large, similarity - MARGIN, similarity))
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(good), batch.column("v").filter(good), pa.array(large).filter(good)], ["u", "v", "large"])
 
-    return _sketched(pairs, sets, marked).select("u", "v", "x", "y").mapInArrow(verify, "u long, v long")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                a, b = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                both = np.intersect1d(a, b, assume_unique=True).size
+                good.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("u", "v")], ["u", "v"])
+
+    judged = shared_table(_sketched(pairs, sets, marked).select("u", "v", "x", "y").mapInArrow(judge, "u long, v long, large boolean"))
+    sure, unsure = judged.where("not large").select("u", "v"), judged.where("large").select("u", "v")
+    if unsure.isEmpty():
+        return sure
+    wanted = unsure.select(F.col("u").alias("sig")).unionByName(unsure.select(F.col("v").alias("sig"))).distinct()
+    whole = shared_table(_whole(sets, wanted, texts, shingle))
+    own = unsure.join(whole.select(F.col("sig").alias("u"), F.col("hashes").alias("x")), "u").join(whole.select(F.col("sig").alias("v"), F.col("hashes").alias("y")), "v")
+    return sure.unionByName(own.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long"))
 
 
 def _whole(sets: DataFrame, wanted: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -265,7 +287,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     near = near.join(first, F.col("u") == F.col("f")).select("v", F.col("s").alias("sig")).join(first, F.col("v") == F.col("f")).select("sig", F.col("s").alias("other"))
     pairs = stars.unionByName(few).unionByName(same_fp).unionByName(near).where("sig <> other")
     pairs = pairs.select(F.least("sig", "other").alias("u"), F.greatest("sig", "other").alias("v")).distinct()
-    found = shared_table(_verified(shared_table(pairs), sets, marked, similarity))
+    texts = rows.select("rid", F.col("_row").getField(text).alias("text"))
+    found = shared_table(_verified(shared_table(pairs), sets, marked, texts, shingle, similarity))
     roots = shared_table(connected_components(found))
     # buckets whose members these links do not make one group: their members are compared whatever the buckets' size
     by_fp_too = sets.select("sig", F.lit(-1).alias("band"), F.col("fp").alias("key"))
@@ -275,9 +298,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     apart = rooted.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "key")
     unsettled = shared_table(rooted.join(apart.hint("merge"), ["band", "key"], "left_semi").select("sig", "root").distinct())
     if not unsettled.isEmpty():
-        texts = rows.select("rid", F.col("_row").getField(text).alias("text"))
         more = shared_table(_prefix_pairs(unsettled, sets, texts, shingle, similarity))
-        found = found.unionByName(_verified(more, sets, marked, similarity))
+        found = found.unionByName(_verified(more, sets, marked, texts, shingle, similarity))
         roots = connected_components(shared_table(found))
     grouped = marked.select("rid", "sig").join(roots, F.col("sig") == F.col("node"), "left").select("rid", F.coalesce("root", "sig").alias("root"))
     placed = shared_table(rows.select("rid", F.col("_row").getField(id_col).alias("id")).join(grouped, "rid"))

@@ -349,3 +349,18 @@ def test_similar_groups_of_a_template_family(spark):
     assert len(set(want.values())) == 100
     rows = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["_row"]["doc_id"]: r["component_id"] for r in rows} == want
+
+
+def test_similar_groups_of_long_texts(spark):
+    rnd = random.Random(9)
+    texts = []
+    for k in range(24):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(1500)]
+        other = list(words)
+        for at in rnd.sample(range(0, 1500, 5), 29 + k // 4):
+            other[at] = "x"
+        texts += [" ".join(words), " ".join(other)]
+    want = grouped(texts)
+    assert 24 < len(set(want.values())) < 48
+    rows = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["_row"]["doc_id"]: r["component_id"] for r in rows} == want
