@@ -7,8 +7,10 @@ are counted in bands of diagonals, each 2 (e + 1) wide and starting every e + 1,
 diagonals whole; bands that reach the count are the regions kept, and each is verified by an alignment of the item
 within the band, free at both ends of the region. Any distance of at most e is a leak.
 
-Items are cut into overlapping passages of ``passage`` code points (shorter items are one passage), so that a long part of
-an item is found as well. e is ``edit_rate`` of a passage, lowered where the lemma would ask for fewer than LEAST_GRAMS.
+Items are cut into overlapping passages of ``passage`` code points (shorter items are one passage), and into ``short`` ones
+of 64 that begin every 16, so that a part of an item is found as well: any run of RUN code points or more (about 13 words)
+that stands in a text verbatim holds a whole short passage, and so does one with edits that leave a short passage with at
+most e. e is ``edit_rate`` of a passage, lowered where the lemma would ask for fewer than LEAST_GRAMS.
 
 The benchmark is broadcast: its size is checked, and a benchmark over MAX_ITEM_CHARS is refused with the advice to run it
 in parts, since its size does not grow with the documents. No shuffle.
@@ -32,6 +34,9 @@ from quarry.llm.common import pack, slices
 
 MAX_ITEM_CHARS = 50_000_000
 LEAST_GRAMS = 4
+#: Code points of a short passage and from one's beginning to the next; the least verbatim run of an item that is always found.
+SHORT, STRIDE = 64, 16
+RUN = SHORT + STRIDE - 1
 _MULT, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x9E3779B1)
 
 
@@ -143,6 +148,11 @@ class Index:
                     s, part = len(points) - self.passage, points[-self.passage :]
                 able = (len(part) + 1 - self.q - LEAST_GRAMS) // self.q
                 passages.append((k, s, part, max(0, min(int(self.edit_rate * len(part)), able))))
+            # a run is found by its short passages; the last one ends with the item
+            able = (SHORT + 1 - self.q - LEAST_GRAMS) // self.q
+            last = len(points) - SHORT
+            for s in [*range(0, last, STRIDE), last] if min(len(points), self.passage) > SHORT else []:
+                passages.append((k, s, points[s : s + SHORT], max(0, min(int(self.edit_rate * SHORT), able))))
         hashes = [grams(p[2], self.q) for p in passages]
         sizes = np.array([len(h) for h in hashes], np.int64)
         flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)

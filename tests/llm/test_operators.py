@@ -364,3 +364,15 @@ def test_similar_groups_of_long_texts(spark):
     assert 24 < len(set(want.values())) < 48
     rows = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["_row"]["doc_id"]: r["component_id"] for r in rows} == want
+
+
+def test_decontamination_finds_runs_of_items():
+    rnd = random.Random(10)
+    word = lambda n: decontaminate.folded("".join(rnd.choice("abcdefghijkl mnopqrstu") for _ in range(n)))
+    index = decontaminate.Index([(k, word(n)) for k, n in enumerate([90, 150, 200, 250, 400, 700])])
+    for k, (_, item) in enumerate(index.items):
+        for size in {decontaminate.RUN, 85, 150, 220}:
+            for start in range(0, len(item) - size + 1, 7):
+                text = decontaminate.folded(f"{word(100)} {item[start : start + size]} {word(100)}")
+                assert k in {f[0] for f in index.search(text)}, (k, size, start)
+    assert not any(index.search(word(400)) for _ in range(20))
