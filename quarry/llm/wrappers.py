@@ -11,7 +11,7 @@ they are lists of links in all sampled pages; a text that is the same in at leas
 a repeated group, is the host's and not the article's. Where pages have an article or main item, the text is taken from
 there, else from the body. What the wrapper has not seen is judged by tag, role, class and links alone.
 
-A wrapper is inferred from at most SAMPLE pages of a host, chosen by hash, so a hot host costs no more than another; Spark
+A wrapper is inferred from at most SAMPLE different pages of a host, chosen by hash, so a hot host costs no more than another; Spark
 limits each task to that many before it shuffles. All pages are extracted, whole.
 
 Defined results: null and empty html gives an empty text; a null url is a host of its own; equal pages give equal texts;
@@ -28,7 +28,7 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import hash_sample, pack, slices
@@ -335,10 +335,31 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
+def distinct_pages(rows: DataFrame) -> DataFrame:
+    """host and html of each different page of a host, as far as the sample can want it: of each of the host's salted parts the SAMPLE least
+    hashes. Each task drops its own copies before Spark shuffles, so a page comes once a task at most."""
+    salted = rows.select("host", "html", F.xxhash64("html").alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            keys = list(zip(batch.column("host").to_pylist(), batch.column("h").to_pylist(), strict=True))
+            new = []
+            for key in keys:
+                new.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    own = salted.mapInArrow(run, "host string, html string, h long").withColumn("salt", F.pmod("h", F.lit(64)))
+    least = own.withColumn("d", F.dense_rank().over(Window.partitionBy("host", "salt").orderBy("h"))).where(F.col("d") <= SAMPLE)
+    once = least.withColumn("k", F.row_number().over(Window.partitionBy("host", "salt", "h").orderBy("html"))).where("k = 1")
+    return once.select("host", "html")
+
+
 def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Returns host and wrapper (JSON), one row per host."""
     rows = pages.select(host(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html")).where("html is not null")
-    sample = hash_sample(rows, "host", "html", SAMPLE)
+    sample = hash_sample(distinct_pages(rows), "host", "html", SAMPLE)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(infer(group["html"].tolist()), ensure_ascii=False)]})

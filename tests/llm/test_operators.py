@@ -376,3 +376,10 @@ def test_decontamination_finds_runs_of_items():
                 text = decontaminate.folded(f"{word(100)} {item[start : start + size]} {word(100)}")
                 assert k in {f[0] for f in index.search(text)}, (k, size, start)
     assert not any(index.search(word(400)) for _ in range(20))
+
+
+def test_wrappers_of_hosts_with_copies(spark):
+    page = "<body><section><p>Words of the host</p></section><div><h1>Title {0}</h1><p>Body {0}</p></div></body>"
+    pages = spark.createDataFrame([(20 * k + c, f"http://h.org/{k}", page.format(k)) for k in range(8) for c in range(20)], "page_id long, url string, html string")
+    got = {r["_row"]["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()}
+    assert got == {20 * k + c: f"Title {k}\nBody {k}" for k in range(8) for c in range(20)}
