@@ -383,3 +383,13 @@ def test_wrappers_of_hosts_with_copies(spark):
     pages = spark.createDataFrame([(20 * k + c, f"http://h.org/{k}", page.format(k)) for k in range(8) for c in range(20)], "page_id long, url string, html string")
     got = {r["_row"]["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()}
     assert got == {20 * k + c: f"Title {k}\nBody {k}" for k in range(8) for c in range(20)}
+
+
+def test_lm_words_beyond_the_store(monkeypatch):
+    rnd = random.Random(11)
+    texts = ["a b", "x" * 9000, " ".join("".join(rnd.choice("abcdef") for _ in range(40)) for _ in range(700)), "a " + "yz" * 3000 + " b", ""]
+    model = lambda: lm.Model(lm.Coder({(0x2020, b): 3 for b in b"abc"}), np.zeros(len(lm.ORDERS) << lm.TABLE_BITS, np.int8))
+    want = lm.score_texts(texts, model())
+    monkeypatch.setattr(lm, "KEPT", 20_000)
+    got = lm.score_texts(texts, model())
+    assert got["score"] == pytest.approx(want["score"]) and got["rare"] == want["rare"]
