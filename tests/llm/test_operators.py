@@ -118,13 +118,106 @@ def test_lm_edges(odd, none):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 for r in untaught)
 
 
-def test_lm_is_a_distribution():
-    """The probabilities of all one-byte words and of the end add up to one at most, and nearly one with the gap's."""
-    coder = lm.Coder({(0x2020, b): 3 for b in b"abc"} | {(0x2061, 0x20): 5})
-    for before in (0x2020, 0x2061, 0x7171):
-        row = coder.row[before]
-        assert abs(sum(2.0 ** -coder.length[row, s] for s in range(256)) - 1) < 1e-9 or row
-    model = lm.Model(coder, np.zeros(len(lm.ORDERS) << lm.TABLE_BITS, np.int8))
+def _plain_model(texts, words):
+    """Counts of every (model, context, depth, path) in dictionaries, and how the symbols of a text are made."""
+    code, spell = words.code, words.bytes
+
+    def path(c, leaf):
+        n = int(c.lengths[leaf])
+        return [(d, int(c.codes[leaf]) >> (32 - d), (int(c.codes[leaf]) >> (31 - d)) & 1) for d in range(n)]
+
+    def symbols(text):
+        tokens = [*(text or "").encode().lower().split(), b"\n"]
+        before, marks, out = lm.NOTHING[0], [lm.LANDMARKS, lm.LANDMARKS], []
+        for w in tokens:
+            leaf = words.leaf.get(w, words.escape)
+            out.append((0, leaf, [("p", before), ("m", marks[-1]), ("o", marks[-2])]))
+            if leaf == words.escape:
+                for k in range(len(w) + 1):
+                    own = [b" " * 5 + w][0][: k + 5]
+                    out.append((1, int(words.byte_leaf[(w + b" ")[k]]), [*((o, own[-o:]) for o in lm.ORDERS[:3]), (0, w[max(0, k - lm.WORD_BYTES) : k])]))
+            before = int(words.before[leaf]) if leaf != words.escape else lm.PREVIOUS + lm.suffix(w)
+            if words.landmark[leaf] >= 0:
+                marks.append(int(words.landmark[leaf]))
+        return out
+
+    seen, counts = collections.defaultdict(lambda: [0, 0]), collections.Counter()
+    for t in texts:
+        counts.update([*(t or "").encode().lower().split()])
+        for kind, leaf, contexts in symbols(t):
+            if not kind:
+                for c in contexts:
+                    for d, node, bit in path(code, leaf):
+                        seen[0, c, d, node][bit] += 1
+    for w, n in counts.items():
+        for kind, leaf, contexts in _spelled(words, w):
+            for c in contexts:
+                for d, node, bit in path(spell, leaf):
+                    seen[1, c, d, node][bit] += 1 if w in words.leaf else n
+    return symbols, seen, path
+
+
+def _spelled(words, w):
+    own = b" " * 5 + w
+    return [(1, int(words.byte_leaf[(w + b" ")[k]]), [*((o, own[: k + 5][-o:]) for o in lm.ORDERS[:3]), (0, w[max(0, k - lm.WORD_BYTES) : k])]) for k in range(len(w) + 1)]
+
+
+def _plain_score(text, words, symbols, seen, path):
+    weights, cells = [[1.0] * 4, [1.0] * 4], [[1 / (1 + math.exp(-(k - 16) / 2)) for k in range(lm.CELLS)] for _ in range(2)]
+    total = 0.0
+    for kind, leaf, contexts in symbols(text):
+        code = words.bytes if kind else words.code
+        for d, node, bit in path(code, leaf):
+            prior = float(code.prior[code.first[leaf] + d])
+            step = lambda p: max(-127, min(127, round(math.log(p / (1 - p)) * lm.STEP)))
+            own, known = [], []
+            for c in contexts:
+                zero, one = seen.get((kind, c, d, node), (0, 0))
+                known.append(zero + one > 0)
+                own.append(step((one + lm.STRENGTH[kind] * prior) / (zero + one + lm.STRENGTH[kind])) if known[-1] else 0 if kind else step(prior))
+            if kind:
+                gate = 13 if known[3] and abs(own[3]) >= lm.SURE * lm.STEP else 8 + sum(known)
+            else:
+                own = [step(prior), *own]
+                gate = sum(1 << k for k in range(3) if known[k])
+            x = [max(-127, min(127, round(o * g))) / lm.STEP for o, g in zip(own, lm.GATES[gate])]
+            dot = max(-7.9, min(7.9, sum(w * v for w, v in zip(weights[kind], x))))
+            p = 1 / (1 + math.exp(-dot))
+            near = round(dot * 2 + 16)
+            q = min(1 - 1e-5, max(1e-5, 0.7 * p + 0.3 * cells[kind][near]))
+            total += math.log10(q if bit else 1 - q)
+            weights[kind] = [w + v * (bit - p) * lm.RATE for w, v in zip(weights[kind], x)]
+            cells[kind][near] += lm.MAP_RATE * (bit - cells[kind][near])
+    return total
+
+
+def test_lm_is_its_plain_version(spark, monkeypatch):
+    """Tables, contexts, mixing and the map by dictionaries and loops."""
+    monkeypatch.setattr(lm, "HEAVY", 40)
+    rnd = random.Random(5)
+    stems = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 6))) for _ in range(90)]
+    texts = [" ".join(rnd.choice(stems[: rnd.choice((6, 30, 90))]) for _ in range(rnd.randint(1, 60))) for _ in range(120)] + ["", None]
+    model, _ = lm.learn(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert len(model.words.leaf) in (40, 41) and model.words.landmark.max() > 0
+    symbols, seen, path = _plain_model(texts, model.words)
+    fresh = ["", texts[3], "zz " + texts[4] + " qqabcabc", "x" * 50, " ".join(stems)]
+    got = lm.score_texts(fresh, model)["score"]
+    want = [_plain_score(t, model.words, symbols, seen, path) for t in fresh]
+    assert np.allclose(got, want, rtol=2e-3, atol=0.02)
+
+
+def test_lm_is_a_distribution(spark):
+    """Over all words of one byte and the end, and over what may follow, probabilities add up to one at most."""
+    model, _ = lm.learn(spark.createDataFrame([("a b a c a b",), ("b a",)], "text string"))
+    heavy = 2.0 ** -model.words.code.lengths.astype(float)
+    spelled = 2.0 ** -model.words.bytes.lengths.astype(float)
+    assert heavy.sum() == pytest.approx(1) and spelled.sum() == pytest.approx(1)
+    x = model.decisions(False, np.arange(len(heavy)), np.zeros((len(heavy), 3), np.uint64))
+    start = np.cumsum(model.words.code.lengths) - model.words.code.lengths
+    first = [math.exp(v) for v in lm.mix(x, start, model.words.code.lengths)] if (np.diff(model.words.code.lengths) <= 0).all() else [
+        math.exp(lm.mix(x, np.array([s]), np.array([n]))[0]) for s, n in zip(start, model.words.code.lengths)
+    ]
+    assert sum(first) == pytest.approx(1, abs=0.02)
     one = lm.score_texts(["a b"], model)["score"][0]
     assert lm.score_texts(["x" * 10, "a b", "q"], model)["score"][1] == pytest.approx(one)
 
@@ -385,11 +478,17 @@ def test_wrappers_of_hosts_with_copies(spark):
     assert got == {20 * k + c: f"Title {k}\nBody {k}" for k in range(8) for c in range(20)}
 
 
-def test_lm_words_beyond_the_store(monkeypatch):
+def test_lm_long_texts_in_parts(spark, monkeypatch):
     rnd = random.Random(11)
     texts = ["a b", "x" * 9000, " ".join("".join(rnd.choice("abcdef") for _ in range(40)) for _ in range(700)), "a " + "yz" * 3000 + " b", ""]
-    model = lambda: lm.Model(lm.Coder({(0x2020, b): 3 for b in b"abc"}), np.zeros(len(lm.ORDERS) << lm.TABLE_BITS, np.int8))
-    want = lm.score_texts(texts, model())
-    monkeypatch.setattr(lm, "KEPT", 20_000)
-    got = lm.score_texts(texts, model())
-    assert got["score"] == pytest.approx(want["score"]) and got["rare"] == want["rare"]
+    model, _ = lm.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    want = lm.score_texts(texts, model)
+    monkeypatch.setattr(lm, "PART", 1000)
+    monkeypatch.setattr(lm, "TOGETHER", 10_000)
+    got = lm.score_texts(texts, model)
+    for k in (0, 4):
+        assert got["score"][k] == pytest.approx(want["score"][k])
+    assert got["score"] == pytest.approx(want["score"], rel=0.1)  # segments begin anew with each part
+    for c in ("n_tokens", "n_bytes", "rare", "known"):
+        assert got[c] == want[c]
+    assert got["base"] == pytest.approx(want["base"])
