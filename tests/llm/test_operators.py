@@ -1,7 +1,10 @@
 """Operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import collections
 import gzip
+import math
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -118,106 +121,159 @@ def test_lm_edges(odd, none):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 for r in untaught)
 
 
+def _plain_symbols(text, words):
+    """(spelled, leaf, contexts) of each symbol, and the log10 shares within the classes."""
+    out, share, before, marks = [], 0.0, lm.PREVIOUS + words.classes, [lm.LANDMARKS, lm.LANDMARKS]
+    for w in [*(text or "").encode().lower().split(), b"\n"]:
+        k = words.word.get(w)
+        kind = words.class_of(w) if k is None else int(words.of[k])
+        pair = int(lm.mixed(np.array([marks[-1] * 1000 + marks[-2] + 1], np.uint64))[0]) >> 20
+        out.append((0, int(words.leaf[kind]), [before, words.firsts[1] + marks[-1], words.firsts[2] + pair % words.rows]))
+        share += float(words.escape[kind] if k is None else words.share[k])
+        if k is None:
+            out += _spelled(words, w, kind)
+        before = lm.PREVIOUS + kind if k is None or k >= lm.PREVIOUS else k
+        if k and k < lm.LANDMARKS:
+            marks.append(k)
+    return out, share
+
+
+def _spelled(words, w, kind):
+    back, out = w[::-1], []
+    for k in range(len(w) + 1):
+        contexts = [(o, back[k - o : k]) if k >= o else (o, back[:k], kind) for o in lm.ORDERS[:3]] + [(0, back[max(0, k - lm.WORD_BYTES) : k], kind)]
+        out.append((1, int(words.bytes.where[(back[k - 1] if k else 32) << 8 | (back + b" ")[k]]), contexts))
+    return out
+
+
+def _path(code, leaf):
+    n, bits = int(code.lengths[leaf]), int(code.codes[leaf])
+    return [(d, bits >> (32 - d), (bits >> (31 - d)) & 1) for d in range(n)]
+
+
 def _plain_model(texts, words):
-    """Counts of every (model, context, depth, path) in dictionaries, and how the symbols of a text are made."""
-    code, spell = words.code, words.bytes
-
-    def path(c, leaf):
-        n = int(c.lengths[leaf])
-        return [(d, int(c.codes[leaf]) >> (32 - d), (int(c.codes[leaf]) >> (31 - d)) & 1) for d in range(n)]
-
-    def symbols(text):
-        tokens = [*(text or "").encode().lower().split(), b"\n"]
-        before, marks, out = lm.NOTHING[0], [lm.LANDMARKS, lm.LANDMARKS], []
-        for w in tokens:
-            leaf = words.leaf.get(w, words.escape)
-            out.append((0, leaf, [("p", before), ("m", marks[-1]), ("o", marks[-2])]))
-            if leaf == words.escape:
-                for k in range(len(w) + 1):
-                    own = [b" " * 5 + w][0][: k + 5]
-                    out.append((1, int(words.byte_leaf[(w + b" ")[k]]), [*((o, own[-o:]) for o in lm.ORDERS[:3]), (0, w[max(0, k - lm.WORD_BYTES) : k])]))
-            before = int(words.before[leaf]) if leaf != words.escape else lm.PREVIOUS + lm.suffix(w)
-            if words.landmark[leaf] >= 0:
-                marks.append(int(words.landmark[leaf]))
-        return out
-
-    seen, counts = collections.defaultdict(lambda: [0, 0]), collections.Counter()
+    """Counts of every (context, depth, path) in dictionaries, and of the rows."""
+    seen, rows, counts = collections.defaultdict(lambda: [0, 0]), collections.Counter(), collections.Counter()
     for t in texts:
-        counts.update([*(t or "").encode().lower().split()])
-        for kind, leaf, contexts in symbols(t):
-            if not kind:
+        counts.update((t or "").encode().lower().split())
+        for spelled, leaf, contexts in _plain_symbols(t, words)[0]:
+            if not spelled:
+                rows.update(contexts)
                 for c in contexts:
-                    for d, node, bit in path(code, leaf):
+                    for d, node, bit in _path(words.code, leaf):
                         seen[0, c, d, node][bit] += 1
     for w, n in counts.items():
-        for kind, leaf, contexts in _spelled(words, w):
+        for _, leaf, contexts in _spelled(words, w, words.class_of(w)):
             for c in contexts:
-                for d, node, bit in path(spell, leaf):
-                    seen[1, c, d, node][bit] += 1 if w in words.leaf else n
-    return symbols, seen, path
-
-
-def _spelled(words, w):
-    own = b" " * 5 + w
-    return [(1, int(words.byte_leaf[(w + b" ")[k]]), [*((o, own[: k + 5][-o:]) for o in lm.ORDERS[:3]), (0, w[max(0, k - lm.WORD_BYTES) : k])]) for k in range(len(w) + 1)]
+                for d, node, bit in _path(words.bytes, leaf):
+                    seen[1, c, leaf >> 8, d, node][bit] += 1 if w in words.word else n
+    return seen, rows
 
 
-def _plain_score(text, words, symbols, seen, path):
+def _plain_score(text, words, seen, rows):
+    step = lambda p: max(-127, min(127, round(math.log(p / (1 - p)) * lm.STEP)))
     weights, cells = [[1.0] * 4, [1.0] * 4], [[1 / (1 + math.exp(-(k - 16) / 2)) for k in range(lm.CELLS)] for _ in range(2)]
-    total = 0.0
-    for kind, leaf, contexts in symbols(text):
-        code = words.bytes if kind else words.code
-        for d, node, bit in path(code, leaf):
+    symbols, total = _plain_symbols(text, words)
+    decisions = []
+    for spelled, leaf, contexts in symbols:
+        code = words.bytes if spelled else words.code
+        for d, node, bit in _path(code, leaf):
             prior = float(code.prior[code.first[leaf] + d])
-            step = lambda p: max(-127, min(127, round(math.log(p / (1 - p)) * lm.STEP)))
             own, known = [], []
             for c in contexts:
-                zero, one = seen.get((kind, c, d, node), (0, 0))
+                zero, one = seen.get((1, c, leaf >> 8, d, node) if spelled else (0, c, d, node), (0, 0))
                 known.append(zero + one > 0)
-                own.append(step((one + lm.STRENGTH[kind] * prior) / (zero + one + lm.STRENGTH[kind])) if known[-1] else 0 if kind else step(prior))
-            if kind:
-                gate = 13 if known[3] and abs(own[3]) >= lm.SURE * lm.STEP else 8 + sum(known)
+                own.append(step((one + lm.STRENGTH[spelled] * prior) / (zero + one + lm.STRENGTH[spelled])) if known[-1] else 0 if spelled else step(prior))
+            if spelled:
+                gate = 9 + (5 if known[3] and abs(own[3]) >= lm.SURE * lm.STEP else sum(known))
             else:
                 own = [step(prior), *own]
-                gate = sum(1 << k for k in range(3) if known[k])
-            x = [max(-127, min(127, round(o * g))) / lm.STEP for o, g in zip(own, lm.GATES[gate])]
-            dot = max(-7.9, min(7.9, sum(w * v for w, v in zip(weights[kind], x))))
+                gate = 3 * sum(rows[contexts[0]] >= n for n in lm.SEEN) + sum(rows[contexts[2]] >= n for n in lm.SEEN)
+            decisions.append((spelled, bit, [max(-127, min(127, round(o * g))) / lm.STEP for o, g in zip(own, lm.GATES[gate])]))
+    for t in range(0, len(decisions), lm.STRIDE):
+        moves = []
+        for spelled, bit, x in decisions[t : t + lm.STRIDE]:
+            dot = max(-7.9, min(7.9, sum(w * v for w, v in zip(weights[spelled], x))))
             p = 1 / (1 + math.exp(-dot))
             near = round(dot * 2 + 16)
-            q = min(1 - 1e-5, max(1e-5, 0.7 * p + 0.3 * cells[kind][near]))
+            q = min(1 - 1e-5, max(1e-5, 0.7 * p + 0.3 * cells[spelled][near]))
             total += math.log10(q if bit else 1 - q)
-            weights[kind] = [w + v * (bit - p) * lm.RATE for w, v in zip(weights[kind], x)]
-            cells[kind][near] += lm.MAP_RATE * (bit - cells[kind][near])
+            moves.append((spelled, near, cells[spelled][near] + lm.MAP_RATE * (bit - cells[spelled][near]), [v * (bit - p) * lm.RATE for v in x]))
+        for spelled, near, cell, move in moves:
+            cells[spelled][near] = cell
+            weights[spelled] = [w + v for w, v in zip(weights[spelled], move)]
     return total
 
 
 def test_lm_is_its_plain_version(spark, monkeypatch):
-    """Tables, contexts, mixing and the map by dictionaries and loops."""
-    monkeypatch.setattr(lm, "HEAVY", 40)
+    """Classes, tables, contexts, mixing and the map by dictionaries and loops."""
+    for name, value in (("HEAVY", 60), ("SINGLES", 12), ("SUFFIXES", 9), ("PREVIOUS", 30), ("LANDMARKS", 8), ("LEAST_BITS", 22), ("SEEN", (20, 60))):
+        monkeypatch.setattr(lm, name, value)
+    monkeypatch.setattr(lm, "NOTHING", (-1, 8, 8))
     rnd = random.Random(5)
     stems = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 6))) for _ in range(90)]
     texts = [" ".join(rnd.choice(stems[: rnd.choice((6, 30, 90))]) for _ in range(rnd.randint(1, 60))) for _ in range(120)] + ["", None]
-    model, _ = lm.learn(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
-    assert len(model.words.leaf) in (40, 41) and model.words.landmark.max() > 0
-    symbols, seen, path = _plain_model(texts, model.words)
+    words, rows, seen, table = _learned(spark, texts, monkeypatch)
+    model = lm.Model(words, rows, seen, table)
+    counted, often = _plain_model(texts, model.words)
     fresh = ["", texts[3], "zz " + texts[4] + " qqabcabc", "x" * 50, " ".join(stems)]
     got = lm.score_texts(fresh, model)["score"]
-    want = [_plain_score(t, model.words, symbols, seen, path) for t in fresh]
+    want = [_plain_score(t, model.words, counted, often) for t in fresh]
     assert np.allclose(got, want, rtol=2e-3, atol=0.02)
 
 
+def _learned(spark, texts, monkeypatch):
+    """As lm.learn, in one process (the workers do not see what a test sets)."""
+    counts = collections.Counter()
+    for t in texts:
+        counts.update([*lm.word_bytes(t), lm.END])
+    top = dict(sorted(counts.items(), key=lambda c: (-c[1], c[0]))[: lm.HEAVY])
+    suffixes = {}
+    for w, n in counts.items():
+        a, b = suffixes.get(w[-2:], (0, 0))
+        suffixes[w[-2:]] = (a + n, b + (n == 1))
+    words = lm.Words(top, suffixes, sum(counts.values()))
+    s = lm.symbols(words, [[*lm.word_bytes(t), lm.END] for t in texts], [lm.NOTHING] * len(texts))
+    keys, n = lm._summed((s.rows * words.classes + words.leaf[s.kind][:, None]).ravel().astype(np.uint64), np.ones(s.rows.size, np.float32))
+    rows, seen = lm.class_rows(keys, n, words, 0, int(words.firsts[-1]))
+    pairs = lm.Pairs()
+    for w, k in counts.items():
+        if w != lm.END:
+            leaf, contexts = lm.byte_contexts(words, [w], np.array([words.class_of(w)]))
+            pairs.add((contexts << np.uint64(lm.LEAF_BITS) | leaf.astype(np.uint64)[:, None]).T.ravel(), np.full(4 * len(leaf), 1 if w in words.word else k, np.float32))
+    keys, n = pairs.compact()
+    place = (keys >> np.uint64(64 - lm.PLACE_BITS)).astype(int)
+    table = np.concatenate([lm.place_table(keys[place == p], n[place == p], words.bytes, lm.STRENGTH[1], lm.LEAST_BITS) for p in range(1 << lm.PLACE_BITS)])
+    return words, rows.ravel(), np.searchsorted(lm.SEEN, seen, "right").astype(np.uint8), table
+
+
+def test_lm_learns_the_same_in_tasks(spark):
+    """Tables of several tasks and two rounds of merging are those of one process."""
+    rnd = random.Random(6)
+    texts = [" ".join("".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 5))) for _ in range(rnd.randint(0, 80))) for _ in range(300)]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lm, "LEAST_BITS", int(np.ceil(np.log2(64 * len({w for t in texts for w in t.split()} | {"end"})))))
+        words, rows, seen, table = _learned(spark, texts, patch)
+    model, _ = lm.learn(spark.createDataFrame([(t,) for t in texts], "text string").repartition(40))
+    assert (model.words.share == words.share).all() and (model.rows == rows).all() and (model.seen == seen).all()
+    assert len(model.table) == len(table) and (model.table == table).mean() > 0.999  # of decisions that meet and are as frequent, either stays
+
+
 def test_lm_is_a_distribution(spark):
-    """Over all words of one byte and the end, and over what may follow, probabilities add up to one at most."""
-    model, _ = lm.learn(spark.createDataFrame([("a b a c a b",), ("b a",)], "text string"))
-    heavy = 2.0 ** -model.words.code.lengths.astype(float)
-    spelled = 2.0 ** -model.words.bytes.lengths.astype(float)
-    assert heavy.sum() == pytest.approx(1) and spelled.sum() == pytest.approx(1)
-    x = model.decisions(False, np.arange(len(heavy)), np.zeros((len(heavy), 3), np.uint64))
-    start = np.cumsum(model.words.code.lengths) - model.words.code.lengths
-    first = [math.exp(v) for v in lm.mix(x, start, model.words.code.lengths)] if (np.diff(model.words.code.lengths) <= 0).all() else [
-        math.exp(lm.mix(x, np.array([s]), np.array([n]))[0]) for s, n in zip(start, model.words.code.lengths)
-    ]
-    assert sum(first) == pytest.approx(1, abs=0.02)
+    """Over all classes, over all words of a class and over what may follow, probabilities add up to one."""
+    model, _ = lm.learn(spark.createDataFrame([("a b a c a b ab cab abb ba bab",)] * 9 + [("b a xy",)], "text string"))
+    words = model.words
+    assert (2.0 ** -words.code.lengths.astype(float)).sum() == pytest.approx(1)
+    assert (2.0 ** -words.bytes.lengths.astype(float)).reshape(256, 256).sum(1) == pytest.approx(1)
+    inside = np.bincount(words.of[words.log > 0], 10 ** words.share[:-1][words.log > 0], words.classes)
+    shared = np.arange(words.classes) >= lm.SINGLES
+    assert (inside[shared] + 10 ** words.escape[shared])[inside[shared] > 0] == pytest.approx(1)
+    total = 0.0
+    for k in range(words.classes):
+        s = lm.Symbols(np.array([0]), np.array([k]), np.array([[0, words.firsts[1], words.firsts[2]]]), [], lm.NOTHING)
+        x = model.classes(s)
+        total += math.exp(lm.mix(x, np.array([0]), np.array([len(x)]))[0])
+    assert total == pytest.approx(1, abs=0.05)
     one = lm.score_texts(["a b"], model)["score"][0]
     assert lm.score_texts(["x" * 10, "a b", "q"], model)["score"][1] == pytest.approx(one)
 
@@ -394,7 +450,7 @@ def test_wrappers(spark):
 def test_wrapper_is_union_free():
     items = wrappers.infer(["<ul><li>a</li></ul><p>same</p>", "<ul><li>b</li><li>c</li></ul><h2>x</h2><p>same</p>"])[3]
     assert [(i[0], i[1], i[2]) for i in items] == [("ul", False, False), ("h2", True, False), ("p", False, False)]
-    assert items[0][3][0][:3] == ["li", False, True] and items[0][3][0][3][0][3] is None and items[2][3][0][3] == "same"
+    assert items[0][3][0][:3] == ["li", False, True] and items[0][3][0][3][0][3] is None and items[2][3][0][3] == wrappers.xxh32_intdigest("same")
 
 
 def test_toxicity_folds_and_exceptions():
@@ -481,7 +537,7 @@ def test_wrappers_of_hosts_with_copies(spark):
 def test_lm_long_texts_in_parts(spark, monkeypatch):
     rnd = random.Random(11)
     texts = ["a b", "x" * 9000, " ".join("".join(rnd.choice("abcdef") for _ in range(40)) for _ in range(700)), "a " + "yz" * 3000 + " b", ""]
-    model, _ = lm.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    model, _ = lm.learn(spark.createDataFrame([("a b xx yz abc",), ("a c",)], "text string"))
     want = lm.score_texts(texts, model)
     monkeypatch.setattr(lm, "PART", 1000)
     monkeypatch.setattr(lm, "TOGETHER", 10_000)
@@ -489,6 +545,58 @@ def test_lm_long_texts_in_parts(spark, monkeypatch):
     for k in (0, 4):
         assert got["score"][k] == pytest.approx(want["score"][k])
     assert got["score"] == pytest.approx(want["score"], rel=0.1)  # segments begin anew with each part
-    for c in ("n_tokens", "n_bytes", "rare", "known"):
+    for c in ("n_tokens", "n_bytes", "known"):
         assert got[c] == want[c]
+    assert list(map(sorted, got["rare"])) == list(map(sorted, want["rare"]))
     assert got["base"] == pytest.approx(want["base"])
+
+
+SOUP = "<body><div><div><a href=/>Home</a> <a href=/x>More {0}</a></div></div><div>Buy {1} now</div><div><div><h1>Title {0}</h1><div>One {0} of the text, and it goes on for a while &amp; more.</div><div>Two {0} likewise a longer block of words.</div></div></div><div>Host words</div></body>"
+
+
+@pytest.mark.parametrize("most", [wrappers.BROADCAST, 0])
+def test_wrappers_find_the_article_without_names(spark, most):
+    """No article element and no class: what varies between the pages tells."""
+    rows = [(k, f"http://s.org/{k}", SOUP.format(k, k % 3)) for k in range(12)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["_row"]["page_id"]: r["text"] for r in wrappers.main_text(pages, broadcast_bytes=most).collect()}
+    assert got == {k: f"Title {k}\nOne {k} of the text, and it goes on for a while & more.\nTwo {k} likewise a longer block of words." for k in range(12)}
+    assert "Host words" in wrappers.extract(rows[0][2], None)  # one page alone does not tell
+
+
+def test_wrappers_of_tagged_pages_do_without_their_tags(spark, sf):
+    """The test pages with article elements made into nameless ones: the wrappers still find the text of nearly all."""
+    def plain(page):
+        for tag, new in (("article", "div"), ("nav", "div"), ("footer", "div"), ("aside", "div")):
+            page = page.replace(f"<{tag}>", f"<{new}>").replace(f"</{tag}>", f"</{new}>")
+        return re.sub(r' class="[^"]*"', "", page)
+
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    few = collections.Counter(r["url"].split("/")[2] for r in rows)
+    many = [r for r in rows if few[r["url"].split("/")[2]] >= 3]
+    want = {r["page_id"]: wrappers.extract(r["html"], None) for r in many}
+    pages = spark.createDataFrame([(r["page_id"], r["url"], plain(r["html"])) for r in many], "page_id long, url string, html string")
+    got = {r["_row"]["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()}
+    assert len(many) >= 10 and sum(got[k] == want[k] for k in want) >= 0.8 * len(want)
+
+
+def test_wrappers_of_deep_long_and_repeated_pages(spark):
+    deep = "<div>" * 5000 + "<p>In the deep</p>" + "</div>" * 5000 + "<p>After</p>"
+    long = "<article>" + "".join(f"<p>P {k}</p><h2>H {k}</h2>" for k in range(4000)) + "</article>"
+    rows = [(k, "http://d.org/a", deep) for k in range(7)] + [(10 + k, "http://l.org/a", long) for k in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["_row"]["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()}
+    assert all("In the deep" in got[k] for k in range(7))
+    assert all(got[10 + k] == "\n".join(f"P {j}\nH {j}" for j in range(4000)) for k in range(3))
+
+
+def test_wrappers_keep_what_a_word_in_a_class_does_not_mean():
+    page = '<article><h1>T</h1><div class="share-price">Price 3</div><p title="a hidden gem">Gem</p><div class="share-buttons">Tweet</div><div hidden>no</div><p>End</p></article>'
+    assert wrappers.extract(page, None) == "T\nPrice 3\nGem\nEnd"
+
+
+def test_wrappers_of_near_copies_keep_their_text(spark):
+    """Pages of a host that differ in a word: their common text is no notice of the host."""
+    rows = [(k, f"http://c.org/{k}", f"<body><article><p>A text that all of them have.</p><h2>More</h2><div>And this {k}</div></article></body>") for k in range(9)]
+    got = {r["_row"]["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"A text that all of them have.\nMore\nAnd this {k}" for k in range(9)}
