@@ -56,6 +56,7 @@ ENDS_P = {
     "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul",
 }
 ENDS_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+GENERIC = {"article", "body", "center", "div", "main", "section", "span", "table", "tbody", "td", "tr"}
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "pre", "blockquote", "figure", "hr"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -212,7 +213,7 @@ def wrapper_of(node: Node, page: int) -> list:
         own = wrapper_of(c, page)
         letters += own[4][0]
         linked += own[4][1]
-        if items and items[-1][0] == own[0]:
+        if items and alike(items[-1], own):
             items[-1] = merged(items[-1], own)
             items[-1][2] = True
         else:
@@ -221,6 +222,15 @@ def wrapper_of(node: Node, page: int) -> list:
     return [node.key, False, False, folded(items), [letters, linked], 1, node.bad, False]
 
 
+def alike(a: list, b: list) -> bool:
+    """Whether two items have the same key and, where the tag tells little, mostly the same keys within."""
+    return a[0] == b[0] and (a[0] == "#" or a[0].split(".")[0] not in GENERIC or shaped({x[0] for x in a[3]}, {x[0] for x in b[3]}))
+
+
+def shaped(a: set[str], b: set[str]) -> bool:
+    return not a or not b or 2 * len(a & b) >= len(a | b)
+
+
 def folded(items: list) -> list:
     """A long sequence as one repeated item for each key, in order of first appearance."""
     if len(items) <= FOLD:
@@ -243,17 +253,18 @@ def merged(a: list, b: list) -> list:
 
 
 def aligned(a: list, b: list) -> list:
-    """Two sequences of items along a longest common subsequence of their keys; the others become optional."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [merged(x, y) for x, y in zip(a, b)]
+    """Two sequences of items along a longest common subsequence of alike ones; the others become optional."""
     n, m = len(a), len(b)
+    same = [[alike(x, y) for y in b] for x in a] if n != m or not all(map(alike, a, b)) else None
+    if same is None:
+        return [merged(x, y) for x, y in zip(a, b)]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = best[i + 1][j + 1] + 1 if same[i][j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
     while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
+        if i < n and j < m and same[i][j]:
             item = merged(a[i], b[j])
             i, j = i + 1, j + 1
         else:
@@ -261,7 +272,7 @@ def aligned(a: list, b: list) -> list:
             item = [*(a[i] if take_a else b[j])]
             item[1] = True
             i, j = (i + 1, j) if take_a else (i, j + 1)
-        if out and out[-1][0] == item[0] and item[0] != "#":
+        if out and item[0] != "#" and alike(out[-1], item):
             item = merged(out.pop(), item)
             item[2] = True
         out.append(item)
@@ -379,7 +390,7 @@ def extract(page: str | None, wrapper: list | None) -> str:
             flush()
             own = None
             if item:
-                k = next((k for k in range(position, len(item[3])) if item[3][k][0] == c.key), None)
+                k = matching(c, item[3], position)
                 if k is None and position and len(item[3]) > 1:  # a folded sequence has one item a key
                     k = next((k for k in range(position) if item[3][k][0] == c.key and item[3][k][2]), None)
                 if k is not None:
@@ -401,6 +412,17 @@ def extract(page: str | None, wrapper: list | None) -> str:
     return "\n".join(blocks)
 
 
+def matching(node: Node, items: list, position: int) -> int | None:
+    """The first item from a position on that an element matches, by its key and, where the tag tells little, by what is in it."""
+    first = None
+    for k in range(position, len(items)):
+        if items[k][0] == node.key:
+            if node.tag not in GENERIC or shaped({x[0] for x in items[k][3]}, {"#" if isinstance(c, tuple) else c.key for c in node.children if not isinstance(c, tuple) or c[0].strip()}):
+                return k
+            first = k if first is None else first
+    return first
+
+
 def _marked(item: list) -> bool:
     return item[0] != "#" and (item[7] or any(map(_marked, item[3])))
 
