@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from quarry.plans.shared import drop_shared, shared_table
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(u, v) in both directions, and m: the least of u and its neighbours."""
+def _least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v) in both directions, and m: the least of u and its neighbours.
+
+    The aggregate is written before it is joined: a join of two written sides is one whose hot keys Spark splits.
+    """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u")
+    least = shared_table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    return both.join(least, "u"), least
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -29,17 +32,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     now = shared_table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").cast(kind).alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
-        linked = _least(now.where("u <> v"))
+        linked, least = _least(now.where("u <> v"))
         large = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = now.where("u = v")
         mid = shared_table(large.unionByName(own).where("u <> v").distinct())
         # small star: neighbours not above u, and u itself, go to the least of them
-        below = mid.groupBy("u").agg(F.min("v").alias("m"))
+        below = shared_table(mid.groupBy("u").agg(F.min("v").alias("m")))
         small = mid.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select("u", F.col("m").alias("v")))
         after = shared_table(small.where("u <> v").distinct())
         state = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        drop_shared(mid)
-        drop_shared(now)
+        drop_shared(mid, now, least, below)
         now = after
         if before == state:
             roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
