@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.plans.shared import shared_table
+
 #: White space of the word rule [^\x20\x09-\x0D]+.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -49,14 +51,19 @@ def slices(batch: pa.RecordBatch, most_rows: int = 512) -> Iterator[pa.RecordBat
         yield batch.slice(k, most_rows)
 
 
-def hash_sample(rows: DataFrame, group: str, key: str, most: int, salts: int = 64) -> DataFrame:
-    """At most ``most`` rows of each group, those with the least hash of the key.
+def hash_sample(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each group, those with the least hash of the key; equal rows count once.
 
-    Ranked in each of the group's salted parts first, so that no task gets a whole hot group; the second ranking gets
-    salts x most rows of a group at most. Both limits are taken before Spark shuffles.
+    No task gets a hot group: rows are counted by group and leading bits of the hash, which partial aggregates bound, and what lies
+    beyond the bits that hold the first ``most`` rows is left out; then once more by further bits. Only what is left is ranked, a
+    millionth of a group beside ``most`` rows.
     """
-    hashed = rows.withColumn("_h", F.xxhash64(F.col(key).cast("string")))
-    parts = Window.partitionBy(group, F.pmod("_h", F.lit(salts))).orderBy("_h", key)
-    some = hashed.withColumn("_r", F.row_number().over(parts)).where(F.col("_r") <= most).drop("_r")
-    whole = Window.partitionBy(group).orderBy("_h", key)
-    return some.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= most).drop("_r", "_h")
+    found = rows.distinct().withColumn("_h", F.xxhash64(F.col(key).cast("string")))
+    for shift in (54, 44):
+        bits = F.shiftright("_h", shift)
+        counts = found.groupBy(group, bits.alias("_b")).agg(F.count("*").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        cuts = shared_table(counts.withColumn("_n", before).where(F.col("_n") < most).groupBy(group).agg(F.max("_b").alias("_cut")))
+        found = found.join(cuts, group).where(bits <= F.col("_cut")).drop("_cut")
+    whole = Window.partitionBy(group).orderBy("_h", *[c for c in rows.columns if c != group])
+    return found.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= most).drop("_r", "_h")

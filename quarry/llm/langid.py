@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import hash_sample, pack, slices
+from quarry.plans.shared import shared_table
 
 LETTERS = regex.compile(r"\p{L}+")
 #: Longest piece in bytes that is used, EM rounds, smoothing mass of each single byte, and least expected count kept.
@@ -177,15 +178,16 @@ def word_bytes(text: str) -> list[bytes]:
 def learn_languages(docs: DataFrame, path: str, id_col: str, text: str, lang: str, learn_from: Column, sample_docs: int = 600) -> dict[str, np.ndarray]:
     """Piece probabilities by language. learn_from: which rows may be learned from.
 
-    The ids are ranked by hash within each language (Spark limits each task to the first sample_docs before it
-    shuffles), and only the chosen documents' words are counted. One group a language, of bounded size, is learned in one
-    task; the result is one vector a language.
+    Of each language the documents with the least hashes of their ids are chosen (no task ranks a whole language), where repeated
+    rows count once, and only their words are counted. One group a language, of bounded size, is learned in one task; the result is one
+    vector a language.
     """
     rows = docs.where(learn_from).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = hash_sample(rows.select("id", "lang"), "lang", "id", sample_docs).distinct()
-    # at most sample_docs ids a language, whatever the input: the texts stay where they are
-    sample = rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", "text")
+    rows = rows.withColumn("digest", F.xxhash64("text"))
+    chosen = shared_table(hash_sample(rows.select("id", "lang", "digest"), "lang", "id", sample_docs).select("lang", "digest").distinct())
+    # at most sample_docs texts a language, whatever the input: the texts stay where they are, and each counts once
+    sample = rows.join(F.broadcast(chosen), ["lang", "digest"], "left_semi").groupBy("lang", "digest").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

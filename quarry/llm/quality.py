@@ -87,13 +87,13 @@ def quality_rules(
     """Returns _row (the row of docs; its text left out unless keep_rows), the measures, host counts and kept.
 
     The measured rows are written once as a shared table, since the hosts' sums and the result both read them.
-    The verdicts join on the host without a hint: Spark broadcasts them only below its size threshold, and splits
-    a hot host's rows in a sort-merge join beyond it.
+    The verdicts are written too and join on the host without a hint: their size is known, so that Spark broadcasts them below
+    its size threshold without a shuffle, and beyond it splits a hot host's rows in a merge join of two written sides.
     """
     rows = pack(docs, _text=text, _host=host)
     if not keep_rows:
         rows = rows.withColumn("_row", F.col("_row").dropFields(text))
     scored = shared_table(measured(rows, min_words, repeat_percent).drop("_text"))
-    verdicts = host_verdicts(scored, max_rate, default_strength)
+    verdicts = shared_table(host_verdicts(scored, max_rate, default_strength))
     joined = scored.join(verdicts, "_host", "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_rejected"), F.lit(False)))

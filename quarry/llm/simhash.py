@@ -35,7 +35,7 @@ from xxhash import xxh64_intdigest
 
 from quarry.llm.common import pack, slices, word_bytes
 from quarry.plans.components import connected_components
-from quarry.plans.shared import shared_table
+from quarry.plans.shared import drop_shared, release, shared_table
 
 SEED = 42
 #: Members of a variant up to which its members are compared with each other.
@@ -131,10 +131,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Bands and hashes a band; a pair of similarity 0.8 shares one with probability 1 - 7e-5. Hashes of a set that are kept to verify.
-BANDS, ROWS, SKETCH = 24, 5, 512
-#: What a sketch may fall short of the similarity before its pair is left out without comparing the whole sets. By Hoeffding's bound, less than
-#: exp(-2 x 512 x 0.15^2) = 1e-10 of the similar pairs do.
+#: Bands and hashes a band; a pair of similarity 0.8 shares one with probability 1 - 3e-5. Hashes of a set that are kept to verify.
+BANDS, ROWS, SKETCH = 20, 4, 192
+#: What a sketch may fall short of the similarity before its pair is left out without comparing the whole sets: five of its standard errors,
+#: so about one similar pair in ten million.
 MARGIN = 0.15
 
 
@@ -267,42 +267,51 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Rows with the same set of shingles meet in its hash, so only distinct sets are compared. Ids may repeat or be null: rows are
     told apart by an id of the written copy of docs.
     """
+
+    def kept(df: DataFrame) -> DataFrame:
+        """A shared table; the shuffle files behind it go."""
+        made = shared_table(df)
+        release(docs.sparkSession)
+        return made
+
     rows = shared_table(pack(docs).withColumn("rid", F.monotonically_increasing_id()))
     marked = shared_table(sketches(rows.select("rid", F.col("_row").getField(text).alias("text")), shingle))
-    sets = shared_table(marked.groupBy("sig").agg(F.min("rid").alias("rid"), F.min_by(F.struct("fp", "keys"), "rid").alias("s")).select("sig", "rid", "s.*"))
-    bands = sets.select("sig", F.posexplode("keys").alias("band", "key"))
-    sizes = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = shared_table(bands.join(sizes.hint("merge"), ["band", "key"]))
-    degree = members.groupBy("sig").agg(F.sum("n").alias("degree"))
+    sets = kept(marked.groupBy("sig").agg(F.min("rid").alias("rid"), F.min_by(F.struct("fp", "keys"), "rid").alias("s")).select("sig", "rid", "s.*"))
+    bands = sets.select("sig", F.explode("keys").alias("key"))  # a key tells its band
+    sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = kept(bands.join(sizes.hint("merge"), "key"))
+    degree = kept(members.groupBy("sig").agg(F.sum("n").alias("degree")))
     ranked = members.join(degree.hint("merge"), "sig")
-    buckets = ranked.groupBy("band", "key").agg(F.max_by("sig", F.struct("degree", "sig")).alias("hub"), F.min("sig").alias("first"))
-    starred = members.join(buckets.hint("merge"), ["band", "key"])
-    stars = starred.select("sig", F.explode(F.array_distinct(F.array("hub", "first"))).alias("other"))
-    small = members.where(F.col("n") <= MAX_BUCKET).groupBy("band", "key").agg(F.collect_list("sig").alias("sigs"))
+    buckets = kept(ranked.groupBy("key").agg(F.max_by("sig", F.struct("degree", "sig")).alias("hub"), F.min("sig").alias("first")))
+    stars = members.join(buckets.hint("merge"), "key").select("sig", F.explode(F.array_distinct(F.array("hub", "first"))).alias("other"))
+    small = members.where(F.col("n") <= MAX_BUCKET).groupBy("key").agg(F.collect_list("sig").alias("sigs"))
     few = small.select(F.explode("sigs").alias("sig"), "sigs").select("sig", F.explode("sigs").alias("other"))
-    by_fp = shared_table(sets.groupBy("fp").agg(F.min("sig").alias("first")))
-    near = links(by_fp.select("fp"), max_bits)
-    same_fp = sets.join(by_fp, "fp").select("sig", F.col("first").alias("other"))
+    banded = stars.unionByName(few).where("sig <> other")
+    banded = kept(banded.select(F.least("sig", "other").alias("u"), F.greatest("sig", "other").alias("v")).distinct())
+    by_fp = kept(sets.groupBy("fp").agg(F.min("sig").alias("first")))
+    near = kept(links(by_fp.select("fp"), max_bits))
+    same_fp = sets.select("sig", "fp").join(by_fp, "fp").select("sig", F.col("first").alias("other"))
     first = by_fp.select(F.col("fp").alias("f"), F.col("first").alias("s"))
     near = near.join(first, F.col("u") == F.col("f")).select("v", F.col("s").alias("sig")).join(first, F.col("v") == F.col("f")).select("sig", F.col("s").alias("other"))
-    pairs = stars.unionByName(few).unionByName(same_fp).unionByName(near).where("sig <> other")
-    pairs = pairs.select(F.least("sig", "other").alias("u"), F.greatest("sig", "other").alias("v")).distinct()
+    linked = same_fp.unionByName(near).where("sig <> other").select(F.least("sig", "other").alias("u"), F.greatest("sig", "other").alias("v"))
+    pairs = kept(banded.unionByName(linked).distinct())
     texts = rows.select("rid", F.col("_row").getField(text).alias("text"))
-    found = shared_table(_verified(shared_table(pairs), sets, marked, texts, shingle, similarity))
-    roots = shared_table(connected_components(found))
+    found = kept(_verified(pairs, sets, marked, texts, shingle, similarity))
+    roots = kept(connected_components(found))
     # buckets whose members these links do not make one group: their members are compared whatever the buckets' size
-    by_fp_too = sets.select("sig", F.lit(-1).alias("band"), F.col("fp").alias("key"))
-    large = members.where(F.col("n") > MAX_BUCKET).select("sig", "band", "key").unionByName(by_fp_too)
-    rooted = large.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "band", "key", F.coalesce("root", "sig").alias("root"))
-    rooted = shared_table(rooted)
-    apart = rooted.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "key")
-    unsettled = shared_table(rooted.join(apart.hint("merge"), ["band", "key"], "left_semi").select("sig", "root").distinct())
+    by_fp_too = sets.select("sig", F.xxhash64("fp", F.lit(-1)).alias("key"))
+    large = members.where(F.col("n") > MAX_BUCKET).select("sig", "key").unionByName(by_fp_too)
+    rooted = kept(large.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "key", F.coalesce("root", "sig").alias("root")))
+    apart = kept(rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"))
+    unsettled = kept(rooted.join(apart.hint("merge"), "key", "left_semi").select("sig", "root").distinct())
     if not unsettled.isEmpty():
-        more = shared_table(_prefix_pairs(unsettled, sets, texts, shingle, similarity))
-        found = found.unionByName(_verified(more, sets, marked, texts, shingle, similarity))
-        roots = connected_components(shared_table(found))
-    grouped = marked.select("rid", "sig").join(roots, F.col("sig") == F.col("node"), "left").select("rid", F.coalesce("root", "sig").alias("root"))
-    placed = shared_table(rows.select("rid", F.col("_row").getField(id_col).alias("id")).join(grouped, "rid"))
-    heads = shared_table(placed.groupBy("root").agg(F.min("id").alias("component_id"), F.min_by("rid", F.struct(F.col("id").isNull(), "id", "rid")).alias("head")))
-    chosen = placed.join(heads, "root").select("rid", "component_id", (F.col("rid") == F.col("head")).alias("stays"))
-    return rows.join(shared_table(chosen), "rid").select("_row", "component_id", "stays")
+        more = kept(_prefix_pairs(unsettled, sets, texts, shingle, similarity))
+        found = found.unionByName(kept(_verified(more, sets, marked, texts, shingle, similarity)))
+        roots = kept(connected_components(kept(found)))
+    grouped = marked.select("rid", "sig").join(roots.hint("merge"), F.col("sig") == F.col("node"), "left").select("rid", F.coalesce("root", "sig").alias("root"))
+    placed = kept(rows.select("rid", F.col("_row").getField(id_col).alias("id")).join(grouped.hint("merge"), "rid"))
+    heads = kept(placed.groupBy("root").agg(F.min("id").alias("component_id"), F.min_by("rid", F.struct(F.col("id").isNull(), "id", "rid")).alias("head")))
+    chosen = kept(placed.join(heads.hint("merge"), "root").select("rid", "component_id", (F.col("rid") == F.col("head")).alias("stays")))
+    drop_shared(marked, sets, members, degree, buckets, banded, by_fp, pairs, rooted, apart, unsettled, placed, heads)
+    # dealt out at every size alike: what this costs is in proportion to the texts
+    return rows.join(chosen.hint("merge"), "rid").select("_row", "component_id", "stays")

@@ -11,7 +11,7 @@ of each label, chosen by hash of the id: the documented bound. Entries are chose
 another, so that words which merely stand in copies of a toxic document are not taken. All rows are scored.
 
 Defined results: null, empty and wordless texts get the score of a text without hits; rows with a null label or id are not
-learned from; of repeated labels of one id, each counts; with no toxic label to learn from all scores are 0; texts are read
+learned from; equal labels of one id count once, as do equal texts of one label; with no toxic label to learn from all scores are 0; texts are read
 whole; an empty table gives no rows.
 """
 
@@ -172,7 +172,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col
     rows = docs.where(learn_from).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     # the rank is over labels whose document may be learned from
     able = marked.join(rows.select("id").distinct(), "id", "left_semi")
-    chosen = hash_sample(able, "y", "id", sample_docs)
+    chosen = shared_table(hash_sample(able, "y", "id", sample_docs))
     # at most 2 sample_docs ids, whatever the input: the texts stay where they are until the sample is picked
     sample = shared_table(rows.where("text is not null").join(F.broadcast(chosen), "id").select("y", "text").distinct())
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
