@@ -140,8 +140,8 @@ def _plain_symbols(text, words):
 
 def _spelled(words, w, kind):
     back, out = w[::-1], []
-    for k in range(len(w) + 1):
-        contexts = [(o, back[k - o : k]) if k >= o else (o, back[:k], kind) for o in lm.ORDERS[:3]] + [(0, back[max(0, k - lm.WORD_BYTES) : k], kind)]
+    for k in range(min(2, len(w)) if lm.SINGLES <= kind < lm.SINGLES + lm.SUFFIXES else 0, len(w) + 1):
+        contexts = [(o, back[k - o : k]) if k >= o else (o, back[:k], kind) for o in lm.ORDERS[:2]] + [(0, back[max(0, k - lm.WORD_BYTES) : k], kind)]
         out.append((1, int(words.bytes.where[(back[k - 1] if k else 32) << 8 | (back + b" ")[k]]), contexts))
     return out
 
@@ -172,36 +172,36 @@ def _plain_model(texts, words):
 
 def _plain_score(text, words, seen, rows):
     step = lambda p: max(-127, min(127, round(math.log(p / (1 - p)) * lm.STEP)))
-    weights, cells = [[1.0] * 4, [1.0] * 4], [[1 / (1 + math.exp(-(k - 16) / 2)) for k in range(lm.CELLS)] for _ in range(2)]
     symbols, total = _plain_symbols(text, words)
-    decisions = []
+    decisions = ([], [])
     for spelled, leaf, contexts in symbols:
         code = words.bytes if spelled else words.code
         for d, node, bit in _path(code, leaf):
             prior = float(code.prior[code.first[leaf] + d])
-            own, known = [], []
+            own, known = [step(prior)], []
             for c in contexts:
                 zero, one = seen.get((1, c, leaf >> 8, d, node) if spelled else (0, c, d, node), (0, 0))
                 known.append(zero + one > 0)
                 own.append(step((one + lm.STRENGTH[spelled] * prior) / (zero + one + lm.STRENGTH[spelled])) if known[-1] else 0 if spelled else step(prior))
             if spelled:
-                gate = 9 + (5 if known[3] and abs(own[3]) >= lm.SURE * lm.STEP else sum(known))
+                gate = 9 + (4 if known[2] and abs(own[3]) >= lm.SURE * lm.STEP else sum(known))
             else:
-                own = [step(prior), *own]
                 gate = 3 * sum(rows[contexts[0]] >= n for n in lm.SEEN) + sum(rows[contexts[2]] >= n for n in lm.SEEN)
-            decisions.append((spelled, bit, [max(-127, min(127, round(o * g))) / lm.STEP for o, g in zip(own, lm.GATES[gate])]))
-    for t in range(0, len(decisions), lm.STRIDE):
-        moves = []
-        for spelled, bit, x in decisions[t : t + lm.STRIDE]:
-            dot = max(-7.9, min(7.9, sum(w * v for w, v in zip(weights[spelled], x))))
-            p = 1 / (1 + math.exp(-dot))
-            near = round(dot * 2 + 16)
-            q = min(1 - 1e-5, max(1e-5, 0.7 * p + 0.3 * cells[spelled][near]))
-            total += math.log10(q if bit else 1 - q)
-            moves.append((spelled, near, cells[spelled][near] + lm.MAP_RATE * (bit - cells[spelled][near]), [v * (bit - p) * lm.RATE for v in x]))
-        for spelled, near, cell, move in moves:
-            cells[spelled][near] = cell
-            weights[spelled] = [w + v for w, v in zip(weights[spelled], move)]
+            decisions[spelled].append((bit, [max(-127, min(127, round(o * g))) / lm.STEP for o, g in zip(own, lm.GATES[gate])]))
+    for own in decisions:
+        weights, cells = [1.0] * 4, [1 / (1 + math.exp(-(k - 16) / 2)) for k in range(lm.CELLS)]
+        for t in range(0, len(own), lm.STRIDE):
+            moves = []
+            for bit, x in own[t : t + lm.STRIDE]:
+                dot = max(-7.9, min(7.9, sum(w * v for w, v in zip(weights, x))))
+                p = 1 / (1 + math.exp(-dot))
+                near = round(dot * 2) + 16
+                q = min(1 - 1e-5, max(1e-5, 0.7 * p + 0.3 * cells[near]))
+                total += math.log10(q if bit else 1 - q)
+                moves.append((near, cells[near] + lm.MAP_RATE * (bit - cells[near]), [v * (bit - p) * lm.RATE for v in x]))
+            for near, cell, move in moves:
+                cells[near] = cell
+                weights = [w + v for w, v in zip(weights, move)]
     return total
 
 
@@ -239,8 +239,8 @@ def _learned(spark, texts, monkeypatch):
     pairs = lm.Pairs()
     for w, k in counts.items():
         if w != lm.END:
-            leaf, contexts = lm.byte_contexts(words, [w], np.array([words.class_of(w)]))
-            pairs.add((contexts << np.uint64(lm.LEAF_BITS) | leaf.astype(np.uint64)[:, None]).T.ravel(), np.full(4 * len(leaf), 1 if w in words.word else k, np.float32))
+            leaf, contexts, _ = lm.byte_contexts(words, [w], np.array([words.class_of(w)]))
+            pairs.add((contexts << np.uint64(lm.LEAF_BITS) | leaf.astype(np.uint64)[:, None]).T.ravel(), np.full(3 * len(leaf), 1 if w in words.word else k, np.float32))
     keys, n = pairs.compact()
     place = (keys >> np.uint64(64 - lm.PLACE_BITS)).astype(int)
     table = np.concatenate([lm.place_table(keys[place == p], n[place == p], words.bytes, lm.STRENGTH[1], lm.LEAST_BITS) for p in range(1 << lm.PLACE_BITS)])
@@ -271,7 +271,7 @@ def test_lm_is_a_distribution(spark):
     total = 0.0
     for k in range(words.classes):
         s = lm.Symbols(np.array([0]), np.array([k]), np.array([[0, words.firsts[1], words.firsts[2]]]), [], lm.NOTHING)
-        x = model.classes(s)
+        x = model.classes(s)[0]
         total += math.exp(lm.mix(x, np.array([0]), np.array([len(x)]))[0])
     assert total == pytest.approx(1, abs=0.05)
     one = lm.score_texts(["a b"], model)["score"][0]
