@@ -178,18 +178,18 @@ def _plain_score(text, words, seen, rows):
         code = words.bytes if spelled else words.code
         for d, node, bit in _path(code, leaf):
             prior = float(code.prior[code.first[leaf] + d])
-            own, known = [step(prior)], []
+            own, known = [step(prior)] if spelled else [], []
             for c in contexts:
                 zero, one = seen.get((1, c, leaf >> 8, d, node) if spelled else (0, c, d, node), (0, 0))
                 known.append(zero + one > 0)
                 own.append(step((one + lm.STRENGTH[spelled] * prior) / (zero + one + lm.STRENGTH[spelled])) if known[-1] else 0 if spelled else step(prior))
             if spelled:
-                gate = 9 + (4 if known[2] and abs(own[3]) >= lm.SURE * lm.STEP else sum(known))
+                gates = lm.BYTE_GATES[4 if known[2] and abs(own[3]) >= lm.SURE * lm.STEP else sum(known)]
             else:
-                gate = 3 * sum(rows[contexts[0]] >= n for n in lm.SEEN) + sum(rows[contexts[2]] >= n for n in lm.SEEN)
-            decisions[spelled].append((bit, [max(-127, min(127, round(o * g))) / lm.STEP for o, g in zip(own, lm.GATES[gate])]))
+                gates = lm.CLASS_GATES[3 * sum(rows[contexts[0]] >= n for n in lm.SEEN) + sum(rows[contexts[2]] >= n for n in lm.SEEN)]
+            decisions[spelled].append((bit, [max(-127, min(127, round(o * g))) / lm.STEP for o, g in zip(own, gates)]))
     for own in decisions:
-        weights, cells = [1.0] * 4, [1 / (1 + math.exp(-(k - 16) / 2)) for k in range(lm.CELLS)]
+        weights, cells = [1.0] * (len(own[0][1]) if own else 0), [1 / (1 + math.exp(-(k - 16) / 2)) for k in range(lm.CELLS)]
         for t in range(0, len(own), lm.STRIDE):
             moves = []
             for bit, x in own[t : t + lm.STRIDE]:
@@ -272,7 +272,7 @@ def test_lm_is_a_distribution(spark):
     for k in range(words.classes):
         s = lm.Symbols(np.array([0]), np.array([k]), np.array([[0, words.firsts[1], words.firsts[2]]]), [], lm.NOTHING)
         x = model.classes(s)[0]
-        total += math.exp(lm.mix(x, np.array([0]), np.array([len(x)]))[0])
+        total += math.exp(lm.mix(x, np.array([len(x)]))[0])
     assert total == pytest.approx(1, abs=0.05)
     one = lm.score_texts(["a b"], model)["score"][0]
     assert lm.score_texts(["x" * 10, "a b", "q"], model)["score"][1] == pytest.approx(one)
