@@ -10,23 +10,57 @@ from pyspark.sql import functions as F
 
 
 @lru_cache(maxsize=1)
-def _latin_bases() -> tuple[str, str]:
-    """Letters of the Latin blocks that decompose into one base letter and marks, and their bases."""
-    letters, bases = [], []
-    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+def bases() -> dict[str, str]:
+    """Characters of the basic plane whose compatibility form without marks differs: accented letters, full-width forms, voiced kana, ligatures.
+
+    Syllables and signs that come apart into several letters of other scripts stay, on both sides of a comparison.
+    """
+    found = {}
+    for c in map(chr, range(0xA0, 0xFFFE)):
+        if unicodedata.category(c)[0] not in "LNSP" or 0xAC00 <= ord(c) <= 0xD7A3:
+            continue
         base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.category(x).startswith("M"))
-        if len(base) == 1 and base != c:
-            letters.append(c)
-            bases.append(base)
-    return "".join(letters), "".join(bases)
+        if base != c and base and (len(base) == 1 or base.isascii() and base.isalpha()):
+            found[c] = base
+    return found
+
+
+@lru_cache(maxsize=1)
+def _single() -> tuple[str, str]:
+    one = {c: b for c, b in bases().items() if len(b) == 1}
+    return "".join(one), "".join(one.values())
+
+
+def _unfolded(text: Column) -> Column:
+    """Compatibility forms without marks."""
+    letters, plain = _single()
+    text = F.translate(text, letters, plain)
+    ligatures = {c: b for c, b in bases().items() if len(b) > 1 and ("\u0130" <= c <= "\u01ff" or "\ufb00" <= c <= "\ufb06")}
+    several = text.rlike("[" + "".join(ligatures) + "]")
+    out = text
+    for c, b in ligatures.items():
+        out = F.replace(out, F.lit(c), F.lit(b))
+    return F.regexp_replace(F.when(several, out).otherwise(text), r"\p{M}+", "")
 
 
 def fold_text(text: Column) -> Column:
     """Lower case without accents; null becomes empty."""
-    letters, bases = _latin_bases()
     text = F.coalesce(text, F.lit(""))
     # bytes beyond the characters: only then is there anything to fold
-    return F.lower(F.when(F.octet_length(text) > F.char_length(text), F.regexp_replace(F.translate(text, letters, bases), r"\p{M}+", "")).otherwise(text))
+    return F.lower(F.when(F.octet_length(text) > F.char_length(text), _unfolded(text)).otherwise(text))
+
+
+def folded(text: str) -> str:
+    """``fold_text`` of a value, for queries."""
+    ligatures = {c: b for c, b in bases().items() if len(b) == 1 or "\u0130" <= c <= "\u01ff" or "\ufb00" <= c <= "\ufb06"}
+    text = text.translate(str.maketrans(ligatures))
+    return "".join(c for c in text if not unicodedata.category(c).startswith("M")).lower()
+
+
+def to_ascii(text: Column) -> Column:
+    """ASCII letters of compatibility forms; what has none vanishes. Null becomes empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) > F.char_length(text), F.regexp_replace(_unfolded(text), r"[^\x00-\x7F]+", "")).otherwise(text)
 
 
 def normalize(text: Column) -> Column:

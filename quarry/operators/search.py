@@ -7,14 +7,13 @@ A query becomes one column expression, so matching and ranking are one pass over
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import padded, vocabulary_tokens
+from quarry.functions.text import folded, padded, vocabulary_tokens
 
 # Places of a term in a record and what they weigh, and the other weights of a record.
 NAME_START, NAME_WORD, NAME_INSIDE, AREA, TOPIC, DEPARTMENT, HAYSTACK = 18, 14, 8, 7, 6, 5, 2
@@ -22,7 +21,7 @@ PER_TERM, PHRASE_IN_NAME, PHRASE, FUZZY = 20, 25, 8, 0.75
 
 
 def fold(value: str) -> str:
-    text = "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.category(c).startswith("M")).lower()
+    text = folded(value)
     return " ".join("".join(c if c.isalnum() or c in "@.+-" else " " for c in text).split())
 
 
