@@ -6,11 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Character references that captured pages use.
+REFERENCES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "#x27": "'", "#34": '"', "nbsp": " ", "#160": " ", "copy": "©", "reg": "®", "middot": "·", "bull": "•", "mdash": "—", "ndash": "–", "#8211": "–",
+    "#8212": "—", "hellip": "…", "lsquo": "‘", "rsquo": "’", "#8217": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "auml": "ä", "ouml": "ö",
+    "uuml": "ü", "szlig": "ß", "ntilde": "ñ", "oacute": "ó", "iacute": "í", "aacute": "á", "uacute": "ú", "times": "×", "amp": "&",
+}
+
+
 def unescape(text: Column) -> Column:
-    """The character references of markup itself."""
-    for reference, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(reference), F.lit(character))
-    return text
+    """Character references undone, that of the ampersand last."""
+    out = text
+    for name, character in REFERENCES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(character))
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
 def plain(text: Column) -> Column:
@@ -37,9 +46,10 @@ def resolve(base: Column, href: Column) -> Column:
 
 def links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """(key, position, target, label): each link of each page, in order from 0."""
-    found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r'(?is)<a\s[^>]*?href="[^"]*"[^>]*>.*?</a>'), F.lit(0))
+    attribute = r"""href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(rf"(?is)<a\s(?:[^>]*?\s)?{attribute}[^>]*>.*?</a>"), F.lit(0))
     each = pages.select(key, url, F.posexplode(found).alias("position", "tag"))
-    href = F.regexp_extract("tag", r'(?is)href="([^"]*)"', 1)
+    href = F.concat(*[F.regexp_extract("tag", rf"(?is)<a\s(?:[^>]*?\s)?{attribute}", k) for k in (1, 2, 3)])
     return each.select(key, F.col("position").cast("long").alias("position"), resolve(F.col(url), href).alias("target"), plain(F.col("tag")).alias("label"))
 
 

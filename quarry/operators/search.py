@@ -10,8 +10,10 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from quarry.functions.text import folded, padded, vocabulary_tokens
 
@@ -116,44 +118,75 @@ def search_relaxed(index: DataFrame, query: Query, facts: Column, abbreviations:
 
 def vocabulary(records: DataFrame, text: Column) -> DataFrame:
     """(token, df): how many records have each token."""
-    return records.select(F.explode(vocabulary_tokens(text)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    counted = records.select(F.explode(vocabulary_tokens(text)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return counted.where(F.col("token").rlike(r"^\p{L}{3,}$"))
+
+
+def _osa(words: pd.Series, term: str) -> pd.Series:
+    def one(word: str | None) -> int | None:
+        if word is None:
+            return None
+        two, before = None, list(range(len(word) + 1))
+        for i, a in enumerate(term, 1):
+            row = [i]
+            for j, b in enumerate(word, 1):
+                best = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (a != b))
+                if i > 1 and j > 1 and a == word[j - 2] and b == term[i - 2]:
+                    best = min(best, two[j - 2] + 1)
+                row.append(best)
+            two, before = before, row
+        return before[-1]
+
+    return words.map(one)
+
+
+def osa_distance(word: Column, term: str) -> Column:
+    """Optimal string alignment: edits and transpositions of neighbours, each at most once. For the few words that a built-in distance leaves."""
+    return F.pandas_udf(lambda words: _osa(words, term), IntegerType())(word)
 
 
 def corrections(vocab: DataFrame, term: str, most: int = 4) -> DataFrame:
-    """(text, df) of up to four corrections of a term that occurs nowhere: whole words first, then beginnings, by frequency.
+    """(text, df) of up to four corrections of a term that occurs nowhere, not even inside a token: whole words first, then beginnings, by frequency.
 
-    A candidate shares the first or the second letter, within one edit, two from eight letters on. Lengths and letters are
-    tested before the distance, so few tokens reach it. A transposition counts as one edit where it is the only one.
+    A candidate shares the first or the second letter, within one edit, two from eight letters on; a transposition of neighbours is one
+    edit. A transposition is at most two edits of the built-in distance, so that distance leaves few tokens for the exact one.
     """
     term = fold(term)
+    nothing = vocab.limit(0).select(F.col("token").alias("text"), "df")
     if not re.fullmatch(r"[^\W\d_]{5,}", term):
-        return vocab.limit(0).select(F.col("token").alias("text"), "df")
+        return nothing
     limit = 2 if len(term) >= 8 else 1
     token = F.col("token")
     near = vocab.where((F.substring(token, 1, 1) == term[0]) | (F.substring(token, 2, 1) == term[1]))
-
-    def edits(of: Column) -> Column:
-        swapped = F.lit(False)
-        for k in range(len(term) - 1):
-            swapped = swapped | (of == term[:k] + term[k + 1] + term[k] + term[k + 2 :])
-        return F.when(swapped, 1).otherwise(F.levenshtein(F.lit(term), of))
-
-    whole, start = edits(token), F.substring(token, 1, len(term))
-    rank = F.when(whole <= limit, 2 * whole).when((F.length(token) > len(term)) & (edits(start) <= limit), 2 * limit + 1)
-    text = F.when(whole <= limit, token).otherwise(start)
-    ranked = near.select(text.alias("text"), rank.alias("rank"), "df").where("rank is not null")
+    start = F.substring(token, 1, len(term))
+    loose = lambda c: F.levenshtein(F.lit(term), c) <= 2 * limit
+    few = near.where(loose(token) | loose(start)).select("token", "df", start.alias("start"))
+    exact = few.withColumns({"whole": osa_distance(F.col("token"), term), "part": osa_distance(F.col("start"), term)})
+    rank = F.when(F.col("whole") <= limit, 2 * F.col("whole")).when((F.length(token) > len(term)) & (F.col("part") <= limit), 2 * limit + 1)
+    text = F.when(F.col("whole") <= limit, token).otherwise(F.col("start"))
+    ranked = exact.select(text.alias("text"), rank.alias("rank"), "df").where("rank is not null")
     best = ranked.select(F.min("rank")).scalar()
-    return ranked.where(F.col("rank") == best).groupBy("text").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "text").limit(most)
+    known = vocab.select(F.coalesce(F.bool_or(F.contains(token, F.lit(term))), F.lit(False))).scalar()
+    return ranked.where((F.col("rank") == best) & ~known).groupBy("text").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "text").limit(most)
 
 
-def suggestions(entries: DataFrame, typed: str, per_group: dict[str, int]) -> DataFrame:
-    """entries (kind, label, n): the best of each kind: exact 10, beginning 8, beginning of a word 6, inside (from three characters) 4."""
+def suggestions(entries: DataFrame, typed: str, per_group: dict[str, int], synonyms: dict[str, list[str]] | None = None, segments: dict[str, list[str]] | None = None) -> DataFrame:
+    """entries (kind, label, n): the best of each kind: exact 10, beginning 8, a synonym 7, beginning of a word 6, a word of a script without
+    spaces 5, inside (from three characters) 4, a word within one edit (from five letters) 3."""
     from pyspark.sql import Window
 
     q, label = fold(typed), padded(F.col("label"))
-    ladder = F.when(F.trim(label) == q, 10).when(F.startswith(label, F.lit(f" {q}")), 8).when(F.contains(label, F.lit(f" {q}")), 6)
+    ladder = F.when(F.trim(label) == q, 10).when(F.startswith(label, F.lit(f" {q}")), 8)
+    for s in (synonyms or {}).get(q, []):
+        ladder = ladder.when(F.contains(label, F.lit(f" {fold(s)}")), 7)
+    ladder = ladder.when(F.contains(label, F.lit(f" {q}")), 6)
+    for key, words in (segments or {}).items():
+        for w in words if key in q else []:
+            ladder = ladder.when(F.contains(label, F.lit(fold(w))), 5)
     if len(q) >= 3:
         ladder = ladder.when(F.contains(label, F.lit(q)), 4)
+    if re.fullmatch(r"[^\W\d_]{5,}", q):
+        ladder = ladder.when(F.exists(F.split(F.trim(label), " "), lambda w: F.levenshtein(F.lit(q), w) <= 1), 3)
     scored = entries.withColumn("rank_score", ladder).where("rank_score is not null")
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("rank_score"), F.desc("n"), "label"))
     most = F.lit(0)

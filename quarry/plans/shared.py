@@ -10,7 +10,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +63,17 @@ def shared_table(df: DataFrame, partition_by: list[str] | None = None) -> DataFr
     return made
 
 
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is built once for an application and name and read afterwards, as an index is. Its source must not change meanwhile."""
+    key = spark.sparkContext.applicationId, name
+    if key not in _stored:
+        _stored[key] = shared_table(build())
+    return _stored[key]
+
+
 def drop_shared(*tables: DataFrame) -> None:
     """Delete shared tables that nothing reads any more. Other DataFrames are left alone."""
     for df in tables:

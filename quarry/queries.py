@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry import record_queries, text_queries
 from quarry.functions import dates, html, text, urls
 from quarry.operators import merge, quality, resolve, search
-from quarry.plans.shared import table
+from quarry.plans import graph
+from quarry.plans.shared import stored, table
 from quarry.streaming import queue, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +114,11 @@ def tag_regex_dictionary(spark, sf):
 
 
 def _index(spark, sf):
+    """The normal forms, written once: searches read them and compute none."""
+    return stored(spark, f"search index of {sf}", lambda: _built(spark, sf))
+
+
+def _built(spark, sf):
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     first = F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^\n]*", 0)
     return search.build_index(docs, first, F.col("lang"), F.col("source"), F.col("source"), F.col("text"))
@@ -178,9 +185,15 @@ def vocabulary_df(spark, sf):
     return search.vocabulary(table(spark, sf, "documents"), F.col("text"))
 
 
-@query()
+@query(
+    """WITH v AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(strip_accents(coalesce(text, ''))), '[^\\p{L}\\p{N}]+')) AS token FROM documents) WHERE regexp_full_match(token, '\\p{L}{3,}') GROUP BY token),
+    c AS (SELECT token, df, substr(token, 1, 9) AS st, damerau_levenshtein('wrothless', token) AS w, damerau_levenshtein('wrothless', substr(token, 1, 9)) AS p FROM v WHERE substr(token, 1, 1) = 'w' OR substr(token, 2, 1) = 'r'),
+    r AS (SELECT CASE WHEN w <= 2 THEN token ELSE st END AS text, CASE WHEN w <= 2 THEN 2 * w WHEN length(token) > 9 AND p <= 2 THEN 5 END AS rank, df FROM c)
+    SELECT text, CAST(sum(df) AS BIGINT) AS df FROM r WHERE rank = (SELECT min(rank) FROM r) AND NOT EXISTS (SELECT 1 FROM v WHERE contains(token, 'wrothless')) GROUP BY text ORDER BY 2 DESC, 1 LIMIT 4"""
+)
 def spelling_corrections(spark, sf):
-    return search.corrections(search.vocabulary(table(spark, sf, "documents"), F.col("text")), "worthles")
+    """A transposition and what it may stand for."""
+    return search.corrections(search.vocabulary(table(spark, sf, "documents"), F.col("text")), "wrothless")
 
 
 @query(
@@ -493,21 +506,20 @@ def candidate_rejected_anti(spark, sf):
     trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) AND substr(b.text, 1, 1) <> ''"""
 )
 def quote_proof_check(spark, sf):
-    """Which captured texts hold which quotes. Quotes of five words or more are blocked by a hash of their first five words, so
-    only texts with these words in a row are compared; shorter quotes are compared with every text."""
+    """Which captured texts hold which quotes. Quotes with a whole word inside are blocked by their longest one, so that only texts with
+    this word are compared; the others (of two words at most) are compared with every text."""
     one = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    five = lambda words, i: F.xxhash64(*[F.get(words, i + k) for k in range(5)])
     docs = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("capture_id"), one(F.col("text")).alias("body"))
     quotes = table(spark, sf, "benchmark").select(F.col("item_id").alias("quote_id"), one(F.col("text")).alias("quote")).where("quote <> ''")
-    w = F.split("quote", " ")
     # the first and the last word of a quote may be parts of words of the text
-    keyed = quotes.where(F.size(w) >= 7).withColumn("key", five(w, 1))
-    grams = docs.select("capture_id", F.split("body", " ").alias("w")).select(
-        "capture_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: five(F.col("w"), i)))).alias("key")
-    )
-    # texts come to their few candidates, not along with their grams
-    found = grams.join(keyed, "key").select("capture_id", "quote_id", "quote").distinct().join(docs, "capture_id").where(F.contains("body", F.col("quote")))
-    short = docs.join(quotes.where(F.size(w) < 7), F.contains("body", F.col("quote")))
+    w = F.split("quote", " ")
+    longest = F.array_max(F.transform(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    keyed = quotes.withColumn("key", longest)
+    # the blocks' keys are distinct words of texts; texts come to their few candidates, not along with their words
+    words = docs.select("capture_id", F.explode(F.split("body", " ")).alias("key"))
+    candidates = words.join(keyed.where("key is not null").select("key", "quote_id"), "key").select("capture_id", "quote_id").distinct()
+    found = candidates.join(quotes, "quote_id").join(docs, "capture_id").where(F.contains("body", F.col("quote")))
+    short = docs.join(keyed.where("key is null"), F.contains("body", F.col("quote")))
     return found.select("quote_id", "capture_id").unionByName(short.select("quote_id", "capture_id")).select("quote_id", "capture_id", F.lit("ok").alias("status"))
 
 
@@ -545,18 +557,38 @@ def body_hash_check(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2("html", 256).alias("sha256"), F.octet_length("html").cast("long").alias("bytes"))
 
 
-@query()
+_PLAIN = "trim(regexp_replace(" + "replace(" * len(html.REFERENCES) + "regexp_replace({0}, '<[^>]*>', ' ', 'g')" + "".join(f", '&{k};', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in html.REFERENCES.items()) + ", '\\s+', ' ', 'g'))"
+_LINKS = rf"""l AS (SELECT page_id, url, regexp_extract_all(coalesce(html, ''), '(?is)<a\s(?:[^>]*?\s)?href="[^"]*"[^>]*>.*?</a>') AS tags FROM pages), t AS (SELECT page_id, url, CAST(unnest(range(len(tags))) AS BIGINT) AS position, unnest(tags) AS tag FROM l),
+h AS (SELECT *, replace(regexp_replace(regexp_extract(tag, '(?is)href="([^"]*)"', 1), '#.*$', ''), '&amp;', '&') AS href, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') AS root FROM t),
+k AS (SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '/%' THEN root || href WHEN href = '' THEN regexp_replace(url, '#.*$', '') ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END AS target FROM h)"""
+
+
+@query(f"SELECT page_id, nullif({_PLAIN.format("regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS title FROM pages")
 def page_title_regex(spark, sf):
     return table(spark, sf, "pages").select("page_id", html.title(F.col("html")).alias("title"))
 
 
-@query()
+@query(f"WITH {_LINKS} SELECT page_id, position, target, {_PLAIN.format('tag')} AS label FROM k")
 def page_links(spark, sf):
     return html.links(table(spark, sf, "pages"), "page_id", "url", "html")
 
 
-@query()
-def link_reach_two_hops(spark, sf):
+@query(
+    """WITH RECURSIVE e AS (SELECT l_orderkey AS u, l_partkey AS v FROM lineitem UNION SELECT l_partkey + 1000000, l_orderkey FROM lineitem WHERE l_quantity > 48),
+    r(node, depth) AS (SELECT DISTINCT l_orderkey, 0 FROM lineitem WHERE l_orderkey < 5 UNION SELECT v, depth + 1 FROM r JOIN e ON e.u = r.node WHERE depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node"""
+)
+def link_bfs(spark, sf):
+    """Least distances from five orders, three steps far, over orders and parts whose numbers are one space."""
+    lines = table(spark, sf, "lineitem")
+    edges = lines.select(F.col("l_orderkey").alias("u"), F.col("l_partkey").alias("v")).unionByName(lines.where("l_quantity > 48").select((F.col("l_partkey") + 1_000_000).alias("u"), F.col("l_orderkey").alias("v")))
+    return graph.reach(edges, lines.where("l_orderkey < 5").select(F.col("l_orderkey").alias("node")), 3)
+
+
+@query(
+    f"""WITH {_LINKS}, f AS (SELECT DISTINCT target FROM k WHERE regexp_matches(target, '^https?://[^/?#]+') AND NOT regexp_matches(target, '\\s')), p AS (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS url FROM pages)
+    SELECT lower(regexp_extract(target, '://([^/:?#]*)', 1)) AS host, count(*) AS links, count(p.url) AS captured FROM f LEFT JOIN p ON p.url = target GROUP BY 1"""
+)
+def link_targets_captured(spark, sf):
     """Hosts' distinct links found, and how many of them are pages that were captured."""
     pages = table(spark, sf, "pages")
     found = html.links(pages, "page_id", "url", "html").select(urls.url_key(F.col("target")).alias("key")).where("key <> ''").distinct()
@@ -700,3 +732,7 @@ def streamed_window_events(spark, sf):
 @query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 def json_pointer_props(spark, sf):
     return table(spark, sf, "events").groupBy(F.get_json_object("props", "$.k").cast("bigint").alias("k")).agg(F.count("*").alias("n"))
+
+
+QUERIES |= text_queries.QUERIES | record_queries.QUERIES
+SQL |= text_queries.SQL | record_queries.SQL
