@@ -14,7 +14,7 @@ to the group's least says so. No link is lost, and work grows with the number of
 Links of two or three bits stand for a similarity of about 0.95 or more. ``similar_groups`` is for a given similarity of the
 sets of shingles: it verifies the SimHash links, and further candidates from bands of minimum hashes, since no number of bits
 that deletion variants can reach holds all pairs of similarity 0.8. Buckets of a band of up to MAX_BUCKET members pair all. In
-a larger one, members are paired with two of them first, the one that shares most buckets with others and the first. Where the
+a larger one, members are paired with two of them first, those with the least and the greatest hash. Where the
 links so found leave a bucket's members in several groups, a similarity join with a prefix filter on rare shingles finds all
 similar pairs of these members across the groups, so no pair that shares a bucket is lost.
 
@@ -131,8 +131,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Bands and hashes a band; a pair of similarity 0.8 shares one with probability 1 - 3e-5. Hashes of a set that are kept to verify.
-BANDS, ROWS, SKETCH = 20, 4, 192
+#: Bands and hashes a band; a pair of similarity 0.8 shares one with probability 1 - 7e-5. Hashes of a set that are kept to verify.
+BANDS, ROWS, SKETCH = 24, 5, 256
 #: What a sketch may fall short of the similarity before its pair is left out without comparing the whole sets: five of its standard errors,
 #: so about one similar pair in ten million.
 MARGIN = 0.15
@@ -147,9 +147,11 @@ def band_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """docs has rid and text. Returns rid, fp, sig (a hash of the set of shingles), keys of the bands, and the upper halves of the SKETCH least
+    """docs has rid, id and text. Returns rid, id, fp, sig (a hash of the set of shingles), keys of the bands, and the upper halves of the SKETCH least
     hashes, which tell two shingles apart but once in millions of pairs."""
 
+    kind = docs.schema["id"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = np.random.default_rng(SEED)
         a = random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -165,12 +167,12 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
                     keys.append(band_keys(own, a, b).view(np.int64))
                     least.append((own[: 2 * SKETCH] >> np.uint64(32)).astype("<u4")[:SKETCH].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rid"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sigs, np.uint64).view(np.int64)),
+                    [part.column("rid"), part.column("id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sigs, np.uint64).view(np.int64)),
                      pa.array(keys, pa.list_(pa.int64())), pa.array(least, pa.binary())],
-                    ["rid", "fp", "sig", "keys", "least"],
+                    ["rid", "id", "fp", "sig", "keys", "least"],
                 )
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, fp long, sig long, keys array<long>, least binary")
+    return docs.select("rid", "id", "text").mapInArrow(run, f"rid long, id {kind}, fp long, sig long, keys array<long>, least binary")
 
 
 def jaccard(x: bytes, y: bytes) -> float:
@@ -254,11 +256,15 @@ def _prefix_pairs(unsettled: DataFrame, sets: DataFrame, texts: DataFrame, shing
     often = spelled.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     ranked = spelled.join(often.hint("merge"), "h").groupBy("sig", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
     keep = F.greatest(F.lit(0), F.size("own") - (F.ceil(F.col("n") * similarity - 1e-9) - 1)).cast("int")
-    first = ranked.select("sig", "n", F.explode(F.slice("own", 1, keep)).alias("s")).select("sig", "n", F.col("s.h").alias("h"))
-    first = shared_table(first.join(unsettled, "sig"))
-    other = first.select("h", F.col("sig").alias("v"), F.col("n").alias("m"), F.col("root").alias("r"))
-    met = first.join(other.hint("merge"), "h").where((F.col("sig") < F.col("v")) & (F.col("root") != F.col("r")))
-    return met.where(F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9).select(F.col("sig").alias("u"), "v").distinct()
+    placed = ranked.select("sig", "n", F.size("own").alias("c"), F.posexplode(F.slice("own", 1, keep)).alias("i", "s")).select("sig", "n", "c", "i", F.col("s.h").alias("h"))
+    first = shared_table(placed.join(unsettled, "sig"))
+    other = first.select("h", F.col("sig").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("i").alias("j"), F.col("root").alias("r"))
+    # what two sets with a shingle at places i and j can share at most: as much before and after it as the shorter side has
+    most = F.least("i", "j") + 1 + F.least(F.col("c") - F.col("i") - 1, F.col("d") - F.col("j") - 1)
+    enough = most >= (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-9
+    alike = (F.col("sig") < F.col("v")) & (F.col("root") != F.col("r")) & (F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9) & enough
+    met = first.join(other.hint("merge"), (first["h"] == other["h"]) & alike)
+    return met.select(F.col("sig").alias("u"), "v").distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
@@ -275,43 +281,39 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return made
 
     rows = shared_table(pack(docs).withColumn("rid", F.monotonically_increasing_id()))
-    marked = shared_table(sketches(rows.select("rid", F.col("_row").getField(text).alias("text")), shingle))
-    sets = kept(marked.groupBy("sig").agg(F.min("rid").alias("rid"), F.min_by(F.struct("fp", "keys"), "rid").alias("s")).select("sig", "rid", "s.*"))
+    texts = rows.select("rid", F.col("_row").getField(text).alias("text"))
+    marked = shared_table(sketches(rows.select("rid", F.col("_row").getField(id_col).alias("id"), F.col("_row").getField(text).alias("text")), shingle))
+    first_row = F.min_by("rid", F.struct(F.col("id").isNull(), "id", "rid")).alias("head")
+    sets = kept(marked.groupBy("sig").agg(F.min("rid").alias("rid"), F.min("id").alias("id"), first_row, F.min_by(F.struct("fp", "keys"), "rid").alias("s")).select("sig", "rid", "id", "head", "s.*"))
     bands = sets.select("sig", F.explode("keys").alias("key"))  # a key tells its band
-    sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("sig").alias("first"), F.max("sig").alias("last")).where("n > 1")
     members = kept(bands.join(sizes.hint("merge"), "key"))
-    degree = kept(members.groupBy("sig").agg(F.sum("n").alias("degree")))
-    ranked = members.join(degree.hint("merge"), "sig")
-    buckets = kept(ranked.groupBy("key").agg(F.max_by("sig", F.struct("degree", "sig")).alias("hub"), F.min("sig").alias("first")))
-    stars = members.join(buckets.hint("merge"), "key").select("sig", F.explode(F.array_distinct(F.array("hub", "first"))).alias("other"))
-    small = members.where(F.col("n") <= MAX_BUCKET).groupBy("key").agg(F.collect_list("sig").alias("sigs"))
+    stars = members.select("sig", F.explode(F.array("first", "last")).alias("other"))
+    small = members.where((F.col("n") > 2) & (F.col("n") <= MAX_BUCKET)).groupBy("key").agg(F.collect_list("sig").alias("sigs"))
     few = small.select(F.explode("sigs").alias("sig"), "sigs").select("sig", F.explode("sigs").alias("other"))
-    banded = stars.unionByName(few).where("sig <> other")
-    banded = kept(banded.select(F.least("sig", "other").alias("u"), F.greatest("sig", "other").alias("v")).distinct())
     by_fp = kept(sets.groupBy("fp").agg(F.min("sig").alias("first")))
     near = kept(links(by_fp.select("fp"), max_bits))
     same_fp = sets.select("sig", "fp").join(by_fp, "fp").select("sig", F.col("first").alias("other"))
     first = by_fp.select(F.col("fp").alias("f"), F.col("first").alias("s"))
     near = near.join(first, F.col("u") == F.col("f")).select("v", F.col("s").alias("sig")).join(first, F.col("v") == F.col("f")).select("sig", F.col("s").alias("other"))
-    linked = same_fp.unionByName(near).where("sig <> other").select(F.least("sig", "other").alias("u"), F.greatest("sig", "other").alias("v"))
-    pairs = kept(banded.unionByName(linked).distinct())
-    texts = rows.select("rid", F.col("_row").getField(text).alias("text"))
+    met = stars.unionByName(few).unionByName(same_fp).unionByName(near).where("sig <> other")
+    pairs = kept(met.select(F.least("sig", "other").alias("u"), F.greatest("sig", "other").alias("v")).distinct())
     found = kept(_verified(pairs, sets, marked, texts, shingle, similarity))
-    roots = kept(connected_components(found))
+    roots = shared_table(connected_components(found))
     # buckets whose members these links do not make one group: their members are compared whatever the buckets' size
     by_fp_too = sets.select("sig", F.xxhash64("fp", F.lit(-1)).alias("key"))
     large = members.where(F.col("n") > MAX_BUCKET).select("sig", "key").unionByName(by_fp_too)
-    rooted = kept(large.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "key", F.coalesce("root", "sig").alias("root")))
-    apart = kept(rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"))
+    rooted = shared_table(large.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "key", F.coalesce("root", "sig").alias("root")))
+    apart = shared_table(rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"))
     unsettled = kept(rooted.join(apart.hint("merge"), "key", "left_semi").select("sig", "root").distinct())
     if not unsettled.isEmpty():
         more = kept(_prefix_pairs(unsettled, sets, texts, shingle, similarity))
         found = found.unionByName(kept(_verified(more, sets, marked, texts, shingle, similarity)))
-        roots = kept(connected_components(kept(found)))
-    grouped = marked.select("rid", "sig").join(roots.hint("merge"), F.col("sig") == F.col("node"), "left").select("rid", F.coalesce("root", "sig").alias("root"))
-    placed = kept(rows.select("rid", F.col("_row").getField(id_col).alias("id")).join(grouped.hint("merge"), "rid"))
-    heads = kept(placed.groupBy("root").agg(F.min("id").alias("component_id"), F.min_by("rid", F.struct(F.col("id").isNull(), "id", "rid")).alias("head")))
-    chosen = kept(placed.join(heads.hint("merge"), "root").select("rid", "component_id", (F.col("rid") == F.col("head")).alias("stays")))
-    drop_shared(marked, sets, members, degree, buckets, banded, by_fp, pairs, rooted, apart, unsettled, placed, heads)
+        roots = shared_table(connected_components(found))
+    grouped = sets.select("sig", "id", "head").join(roots.hint("merge"), F.col("sig") == F.col("node"), "left").select("sig", "id", "head", F.coalesce("root", "sig").alias("root"))
+    heads = shared_table(grouped.groupBy("root").agg(F.min("id").alias("component_id"), F.min_by("head", F.struct(F.col("id").isNull(), "id", "head")).alias("head")))
+    told = shared_table(grouped.select("sig", "root").join(heads.hint("merge"), "root").select("sig", "component_id", "head"))
+    chosen = kept(marked.select("rid", "sig").join(told.hint("merge"), "sig").select("rid", "component_id", (F.col("rid") == F.col("head")).alias("stays")))
+    drop_shared(marked, sets, members, by_fp, pairs, rooted, apart, unsettled, heads, told)
     # dealt out at every size alike: what this costs is in proportion to the texts
     return rows.join(chosen.hint("merge"), "rid").select("_row", "component_id", "stays")
