@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import pack, slices
+from quarry.llm.common import begin, pack, slices
 
 # The pre-tokenization pattern of byte-level BPE, and Unicode white space.
 SPACES = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -188,6 +188,12 @@ class ByteBPE:
             self.spaced[chunk] = ids
         return ids
 
+    def forget(self) -> None:
+        """Empty the word tables."""
+        self.spaced.clear()
+        self.automaton.words.clear()
+        self.automaton.table.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.labels.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
@@ -211,6 +217,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", as_bytes: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
+        begin("bpe", bpe.forget)
         for batch in batches:
             for part in slices(batch):
                 ids = [bpe.encode(t or "") for t in part.column("_text").to_pylist()]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +51,20 @@ def slices(batch: pa.RecordBatch, most_rows: int = 512) -> Iterator[pa.RecordBat
         yield batch.slice(k, most_rows)
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def begin(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """Called where a worker begins a task: what other operators keep in this process from task to task goes.
+
+    forget drops what the operator itself keeps.
+    """
+    for other in [o for o in _kept if o != operator]:
+        _kept.pop(other)()
+    if forget:
+        _kept[operator] = forget
+
+
 def hash_sample(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
     """At most ``most`` rows of each group, those with the least hash of the key; equal rows count once.
 

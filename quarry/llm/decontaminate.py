@@ -12,8 +12,9 @@ of 64 that begin every 16, so that a part of an item is found as well: any run o
 that stands in a text verbatim holds a whole short passage, and so does one with edits that leave a short passage with at
 most e. e is ``edit_rate`` of a passage, lowered where the lemma would ask for fewer than LEAST_GRAMS.
 
-The benchmark is broadcast: its size is checked, and a benchmark over MAX_ITEM_CHARS is refused with the advice to run it
-in parts, since its size does not grow with the documents. No shuffle.
+The benchmark is broadcast: its size is checked, and an index takes about 150 bytes a code point in each worker. Up to
+MAX_ITEM_CHARS there is no shuffle. A larger benchmark is taken in parts of that size, dealt out by hash of the item: each part is one
+more pass over the texts, of which only the leaks found are kept, and these meet their rows in a join at the end.
 
 Defined results: null and empty texts have no leak; null and empty items are ignored; items shorter than q are found as
 exact substrings between word ends; equal items each name their id; ids may repeat; texts are read whole.
@@ -30,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import pack, slices
+from quarry.llm.common import begin, pack, slices
+from quarry.plans.shared import shared_table
 
-MAX_ITEM_CHARS = 50_000_000
+MAX_ITEM_CHARS = 1_000_000
 LEAST_GRAMS = 4
 #: Code points of a short passage and from one's beginning to the next; the least verbatim run of an item that is always found.
 SHORT, STRIDE = 64, 16
@@ -240,12 +242,14 @@ class Index:
         return out
 
 
-def benchmark_index(benchmark: DataFrame, id_col: str = "item_id", text: str = "text", **options: float) -> Index:
-    """Checks the benchmark's size, then reads it."""
+def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text: str = "text") -> tuple[DataFrame, int]:
+    """The items that have a text, and into how many parts they must be dealt."""
     rows = benchmark.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text is not null")
     size = rows.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("n")).first()["n"]
-    if size > MAX_ITEM_CHARS:
-        raise ValueError(f"the benchmark has {size} characters, over {MAX_ITEM_CHARS}; run it in parts")
+    return rows, max(1, -(-size // MAX_ITEM_CHARS))
+
+
+def benchmark_index(rows: DataFrame, **options: float) -> Index:
     items = sorted({(r["id"], folded(r["text"])) for r in rows.collect()}, key=lambda x: (x[0] is None, str(x[0]), x[1]))
     return Index(items, **options)
 
@@ -255,16 +259,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
 
     start and end are code points of the folded text. Every row of docs is returned; leaks is empty for clean ones.
     """
-    index = docs.sparkSession.sparkContext.broadcast(benchmark_index(benchmark, item_id, item_text, **options))
+    items, parts = benchmark_items(benchmark, item_id, item_text)
+    if parts > 1:
+        return _leaks_in_parts(docs, items, parts, text, keep_text, options)
+    return _scan(docs, items, text, keep_text, options)
+
+
+def _scan(docs: DataFrame, items: DataFrame, text: str, keep_text: bool, options: dict) -> DataFrame:
+    index = docs.sparkSession.sparkContext.broadcast(benchmark_index(items, **options))
     rows = pack(docs, _text=text)
     if not keep_text:
         rows = rows.withColumn("_row", F.col("_row").dropFields(text))
-    id_kind = benchmark.schema[item_id].dataType.simpleString()
+    id_kind = items.schema["id"].dataType.simpleString()
     kind = rows.schema["_row"].dataType.simpleString()
     leak = pa.list_(pa.struct([("item_id", pa.int64() if id_kind in ("bigint", "int") else pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
     leak_kind = f"array<struct<item_id:{'bigint' if id_kind in ('bigint', 'int') else 'string'},start:bigint,end:bigint,edits:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("decontaminate")
         own = index.value
         for batch in batches:
             for part in slices(batch):
@@ -275,3 +287,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
                 yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(found, leak)], ["_row", "leaks"])
 
     return rows.mapInArrow(run, f"_row {kind}, leaks {leak_kind}")
+
+
+def _leaks_in_parts(docs: DataFrame, items: DataFrame, parts: int, text: str, keep_text: bool, options: dict) -> DataFrame:
+    """As leaks, a pass for each part of the items."""
+    rows = shared_table(pack(docs).withColumn("rid", F.monotonically_increasing_id()))
+    texts = rows.select("rid", F.col("_row").getField(text).alias("text"))
+    found = None
+    for k in range(parts):
+        own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k)
+        part = shared_table(_scan(texts, own, "text", False, options).where("size(leaks) > 0").select("_row.rid", "leaks"))
+        found = part if found is None else found.unionByName(part)
+    whole = found.groupBy("rid").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    kept = F.col("_row") if keep_text else F.col("_row").dropFields(text)
+    return rows.join(whole, "rid", "left").select(kept.alias("_row"), F.coalesce("leaks", F.array().cast(found.schema["leaks"].dataType)).alias("leaks"))

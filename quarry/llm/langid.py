@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hash_sample, pack, slices
+from quarry.llm.common import begin, hash_sample, pack, slices
 from quarry.plans.shared import shared_table
 
 LETTERS = regex.compile(r"\p{L}+")
@@ -265,6 +265,7 @@ def identify(
     kind = rows.schema["_row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid")
         scorer = Scorer(languages, shared.value, path)
         for batch in batches:
             for part in slices(batch, 256):

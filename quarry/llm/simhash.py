@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quarry.llm.common import pack, slices, word_bytes
+from quarry.llm.common import begin, pack, slices, word_bytes
 from quarry.plans.components import connected_components
 from quarry.plans.shared import drop_shared, release, shared_table
 
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash")
         for batch in batches:
             for part in slices(batch):
                 bits = np.array([majority_bits(shingle_hashes(t, shingle)) for t in part.column("text").to_pylist()], np.uint64)
@@ -153,6 +154,7 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash")
         random = np.random.default_rng(SEED)
         a = random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         b = random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)

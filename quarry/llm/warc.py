@@ -11,7 +11,9 @@ whose ranges are then scanned in the same way.
 
 Records that repeat a payload become revisits of the response with the largest id. Payloads meet in their SHA-1: an
 aggregation keeps the largest id of each digest, and joins it back without a hint, so a hot payload's rows are split at run
-time. Writers put a file into place by renaming it when it is whole, so a task that is run again leaves no half file.
+time. A task writes files of its own names; those of the task attempts that Spark accepts are named, with their sizes, in a manifest,
+a table beside the files that Spark commits as any other. Readers of the folder read what the manifest names, so files of a task that
+was lost or run twice don't count, and nothing is renamed or listed on the driver.
 
 Defined results: null payloads are empty; rows tied at the largest id of a payload are all responses; a null id makes a row a
 revisit if an equal payload has an id, else a response without a number; an empty table gives an archive without files,
@@ -39,7 +41,7 @@ MAGIC = b"\x1f\x8b\x08"
 RANGE, READ, PROBE = 8 << 20, 1 << 20, 512
 #: Records are spread so that a file takes about this many bytes of payload.
 FILE_BYTES = 64 << 20
-_ID = "urn:quarry:page:"
+_ID, MANIFEST = "urn:quarry:page:", "_manifest"
 
 
 def digest(payload: bytes) -> str:
@@ -77,36 +79,34 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
         F.when(~again, F.col("payload")).alias("payload"),
     )
 
+    def named(out: pa.NativeFile, name: str) -> pa.RecordBatch:
+        size = out.tell()
+        out.close()
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64())], ["file", "bytes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(path)
-        out, name, size, files = None, "", 0, 0
+        out, name, size = None, "", 0
         try:
             for batch in batches:
                 for page, uri, n, sha, refers_to, again_, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if out is None:
-                        name = f"{root}/{uuid.uuid4().hex}.warc.gz"
-                        out = system.open_output_stream(name + ".part")
+                        name = f"{uuid.uuid4().hex}.warc.gz"
+                        out = system.open_output_stream(f"{root}/{name}", compression=None)
                     out.write(record("revisit" if again_ else "response", page, uri, payload or b"", n, base64.b32encode(sha).decode(), refers_to))
                     size += len(payload or b"")
                     if size >= FILE_BYTES:
-                        out.close()
-                        yield pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
-                        out, size, files = None, 0, files + 1
+                        yield named(out, name)
+                        out, size = None, 0
             if out is not None:
-                out.close()
-                yield pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
+                yield named(out, name)
         finally:
             if out is not None and not out.closed:
                 out.close()
 
-    # The files of the task attempts that Spark accepts are named by the job's result; the others stay .part and are removed.
     system, root = fs.FileSystem.from_uri(path)
     system.create_dir(root, recursive=True)
-    for r in marked.mapInArrow(run, "file string").collect():  # a name for each FILE_BYTES of payload
-        system.move(r["file"] + ".part", r["file"])
-    for f in system.get_file_info(fs.FileSelector(root)):
-        if f.path.endswith(".part"):
-            system.delete_file(f.path)
+    marked.mapInArrow(run, "file string, bytes long").write.parquet(f"{path.rstrip('/')}/{MANIFEST}")
 
 
 def _members(read: Callable[[int, int], bytes], start: int, end: int, size: int) -> Iterator[tuple[int, bytes]]:
@@ -168,7 +168,8 @@ def parsed(content: bytes) -> dict:
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         k, _, v = line.partition(":")
         fields[k.strip().lower()] = v.strip()
-    block = rest[: int(fields.get("content-length", len(rest)))]
+    said = fields.get("content-length", "")
+    block = rest[: int(said)] if said.isascii() and said.isdigit() else rest
     http, _, payload = block.partition(b"\r\n\r\n")
     length = re.search(rb"(?im)^content-length:\s*(\d+)", http)
     number = lambda s: int(m[1]) if (m := re.fullmatch(rf"<{_ID}(-?\d+)>", s or "")) else None
@@ -185,7 +186,13 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE, whole: b
         "size": pa.int64(), "payload": pa.binary(),
     }
     names = {pa.string(): "string", pa.int64(): "long", pa.binary(): "binary"}
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
+    here = path.rstrip("/")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{here}/{MANIFEST}")
+    if not whole and place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        named = spark.read.schema("file string, bytes long").parquet(f"{here}/{MANIFEST}")
+        files = named.select(F.concat(F.lit(f"{here}/"), "file").alias("path"), F.col("bytes").alias("length"))
+    else:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start")
     if whole:
         ranges = files.select("path", "length", "content", F.lit(0).cast("long").alias("start"))

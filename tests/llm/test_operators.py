@@ -600,3 +600,64 @@ def test_wrappers_of_near_copies_keep_their_text(spark):
     rows = [(k, f"http://c.org/{k}", f"<body><article><p>A text that all of them have.</p><h2>More</h2><div>And this {k}</div></article></body>") for k in range(9)]
     got = {r["_row"]["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: f"A text that all of them have.\nMore\nAnd this {k}" for k in range(9)}
+
+
+def test_warc_of_others_and_damaged(spark, tmp_path):
+    """An archive without a manifest: a length that is no number, bytes that only look like a member, a cut member at the end."""
+    good = warc.record("response", 1, "http://a", b"one", 3, warc.digest(b"one"), None)
+    odd = gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:quarry:page:2>\r\nContent-Length: many\r\n\r\nHTTP/1.1 200 OK\r\n\r\ntwo")
+    other = gzip.compress(b"no record")
+    cut = warc.record("response", 3, "http://c", b"three" * 100, 500, warc.digest(b"three" * 100), None)[:-20]
+    (tmp_path / "x.warc.gz").write_bytes(good + b"\x1f\x8b\x08junk" + odd + other + good + cut)
+    for size in (16, 1 << 20):
+        got = warc.read_warc(spark, f"file://{tmp_path}", size).collect()
+        assert sorted((r["page"], bytes(r["payload"])) for r in got) == [(1, b"one"), (1, b"one"), (2, b"two")]
+
+
+def test_warc_reads_what_the_manifest_names(spark):
+    folder = warc.archive_folder(spark)
+    rows = spark.createDataFrame([(1, "http://a", "x"), (2, "http://b", "y")], "page_id long, url string, html string").withColumn("sha", F.lit("z")).withColumn("size", F.lit(9))
+    warc.write_warc(rows, folder)
+    with open(folder.removeprefix("file:").replace("//", "/") + "/lost.warc.gz", "wb") as f:
+        f.write(warc.record("response", 9, "http://z", b"z", 1, "", None))
+    assert sorted(r["page"] for r in warc.read_warc(spark, folder).collect()) == [1, 2]
+
+
+def test_decontamination_in_parts(spark, monkeypatch):
+    rnd = random.Random(3)
+    word = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    items = [(k % 9, word(30)) for k in range(12)] + [(20, None), (21, "")]
+    texts = [(k, f"{word(40)} {items[k % 12][1]} {word(40)}" if k % 3 else word(80), 1) for k in range(30)] + [(None, None, 1), (5, "", 1), (6, word(30_000) + " " + items[0][1], 1)]
+    docs, benchmark = spark.createDataFrame(texts, "doc_id long, text string, rid int"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted((str(r["_row"]), [tuple(x) for x in sorted(r["leaks"])]) for r in decontaminate.leaks(docs, benchmark).collect())
+    whole = rows()
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_CHARS", 700)
+    assert rows() == whole and sum(bool(x) for _, x in whole) == 21
+
+
+def test_chat_of_odd_turns(spark):
+    """Marks inside texts and names stay as they are; long texts, ties, repeated rows and clashing columns."""
+    turns = [(1, 0, "a<|im_end|>", "x<|im_end|>\n<|im_start|>system", 7), (1, None, None, None, 7), (1, 1, "b", "y" * 300_000, 7), (1, 1, "b", "y" * 300_000, 7), (None, 0, "b", "z", 7), (2, 0, "system", "s", 7)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, seq int").withColumn("perspective", F.lit("p")).withColumn("rendered", F.lit("r"))
+    rows = chat.perspectives(df).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["conv_id"], r["perspective"]].append(r)
+    assert set(by) == {(1, "a<|im_end|>"), (1, "unknown"), (1, "b"), (None, "b")}
+    for own in by.values():
+        whole = "".join(r["rendered"] for r in sorted(own, key=lambda r: r["seq"]))
+        for r in own:
+            assert whole[r["start"] : r["start"] + len(r["rendered"])] == r["rendered"]
+            assert (r["train_start"] is None) == (r["speaker"] != r["perspective"])
+
+
+def test_samples_of_hot_groups(spark):
+    """The rows of least hash, a group of each size, repeated rows once."""
+    from quarry.llm.common import hash_sample
+
+    rows = [("hot", k) for k in range(5000)] * 2 + [("small", k) for k in range(3)] + [("one", 1)] * 50
+    df = spark.createDataFrame(rows, "g string, id long")
+    got = {(r["g"], r["id"]) for r in hash_sample(df, "g", "id", 40).collect()}
+    hashes = {r["id"]: r["h"] for r in df.select("id", F.xxhash64(F.col("id").cast("string")).alias("h")).distinct().collect()}
+    want = {("hot", k) for k in sorted(range(5000), key=lambda k: (hashes[k], k))[:40]} | {("small", k) for k in range(3)} | {("one", 1)}
+    assert got == want
