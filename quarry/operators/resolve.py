@@ -57,12 +57,29 @@ def remap(facts: DataFrame, column: str, canonical: DataFrame) -> DataFrame:
 
 
 def author_matches(records: DataFrame, roster: DataFrame, least: float = 0.55) -> DataFrame:
-    """(record_id, person_id, score): shared tokens by the longer name's, 0.2 each for the last name and the scope, 1 at most.
+    """(record_id, person_id, score): shared tokens by the longer name's, 0.2 each for the last token and the scope, 1 at most.
 
-    Names that share no last token cannot reach the bound without sharing most tokens; the join is on the last token.
+    Candidates of one scope meet in any token they share. Those of different scopes need a share of ``least`` - 0.2, so they meet
+    in one of a name's rarest tokens: a name of n tokens leaves out as many of its most frequent ones as it must share less one.
     """
-    named = lambda df, k, n: df.select(k, F.col("scope").alias(f"scope_{n}"), F.array_distinct(name_tokens(F.col("name"))).alias(n), F.element_at(F.when(F.size(name_tokens(F.col("name"))) > 0, name_tokens(F.col("name"))), -1).alias("last"))
-    pairs = named(records, "record_id", "a").join(named(roster, "person_id", "b"), "last")
-    overlap = F.size(F.array_intersect("a", "b")) / F.greatest(F.size("a"), F.size("b"))
-    score = F.least(F.lit(1.0), overlap + 0.2 + F.when(F.col("scope_a") == F.col("scope_b"), 0.2).otherwise(0.0))
-    return pairs.select("record_id", "person_id", F.round(score, 6).alias("score")).where(F.col("score") >= least)
+
+    def named(df: DataFrame, key: str) -> DataFrame:
+        tokens = name_tokens(F.col("name"))
+        return df.select(F.col(key).alias("id"), "scope", F.array_distinct(tokens).alias("t"), F.when(F.size(tokens) > 0, F.element_at(tokens, -1)).alias("last")).where(F.size("t") > 0)
+
+    a, b = named(records, "record_id"), named(roster, "person_id")
+    words = [df.select("id", "scope", F.size("t").alias("n"), F.explode("t").alias("w")) for df in (a, b)]
+    local = words[0].join(words[1], (words[0]["w"] == words[1]["w"]) & (words[0]["scope"] == words[1]["scope"])).select(words[0]["id"].alias("x"), words[1]["id"].alias("y"))
+    often = words[0].select("w").unionByName(words[1].select("w")).groupBy("w").agg(F.count("*").alias("df"))
+
+    def rare(df: DataFrame) -> DataFrame:
+        ordered = df.join(often, "w").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("s"))
+        keep = F.col("n") - F.ceil(F.col("n") * (least - 0.2) - 1e-9) + 1
+        return ordered.select("id", F.explode(F.slice("s", 1, keep.cast("int"))).alias("e")).select("id", F.col("e.w").alias("w"))
+
+    far = rare(words[0]).withColumnRenamed("id", "x").join(rare(words[1]).withColumnRenamed("id", "y"), "w").select("x", "y")
+    pairs = local.unionByName(far).distinct()
+    both = pairs.join(a.select(F.col("id").alias("x"), F.struct("scope", "t", "last").alias("p")), "x").join(b.select(F.col("id").alias("y"), F.struct("scope", "t", "last").alias("q")), "y")
+    overlap = F.size(F.array_intersect("p.t", "q.t")) / F.greatest(F.size("p.t"), F.size("q.t"))
+    extra = F.when(F.col("p.last") == F.col("q.last"), 0.2).otherwise(0.0) + F.when(F.col("p.scope") == F.col("q.scope"), 0.2).otherwise(0.0)
+    return both.select(F.col("x").alias("record_id"), F.col("y").alias("person_id"), F.round(F.least(F.lit(1.0), overlap + extra), 6).alias("score")).where(F.col("score") >= least)

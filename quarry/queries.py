@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry import record_queries, text_queries
+from quarry import page_queries, record_queries, text_queries
 from quarry.functions import dates, html, text, urls
 from quarry.operators import merge, quality, resolve, search
 from quarry.plans import graph
@@ -401,8 +401,8 @@ def blocked_identity_join(spark, sf):
       string_split(lower(trim(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')[-1] AS last FROM customer),
     s AS (SELECT s_suppkey AS person_id, s_nationkey AS scope, list_distinct(string_split(lower(trim(regexp_replace(s_name, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')) AS t,
       string_split(lower(trim(regexp_replace(s_name, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')[-1] AS last FROM supplier),
-    j AS (SELECT record_id, person_id, round(least(1.0, len(list_intersect(c.t, s.t)) / greatest(len(c.t), len(s.t)) + 0.2 + CASE WHEN c.scope = s.scope THEN 0.2 ELSE 0 END), 6) AS score
-      FROM c JOIN s ON c.last = s.last) SELECT * FROM j WHERE score >= 0.55"""
+    j AS (SELECT record_id, person_id, round(least(1.0, len(list_intersect(c.t, s.t)) / greatest(len(c.t), len(s.t)) + CASE WHEN c.last = s.last THEN 0.2 ELSE 0 END + CASE WHEN c.scope = s.scope THEN 0.2 ELSE 0 END), 6) AS score
+      FROM c, s) SELECT * FROM j WHERE score >= 0.55"""
 )
 def author_match_score(spark, sf):
     records = table(spark, sf, "customer").select(F.col("c_custkey").alias("record_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("scope"))
@@ -734,5 +734,6 @@ def json_pointer_props(spark, sf):
     return table(spark, sf, "events").groupBy(F.get_json_object("props", "$.k").cast("bigint").alias("k")).agg(F.count("*").alias("n"))
 
 
-QUERIES |= text_queries.QUERIES | record_queries.QUERIES
-SQL |= text_queries.SQL | record_queries.SQL
+for _own in (text_queries, record_queries, page_queries):
+    QUERIES |= _own.QUERIES
+    SQL |= _own.SQL
