@@ -158,3 +158,31 @@ UNION ALL SELECT i, 'result', CASE WHEN i % 20 = 0 THEN 'https://x.org/a b?q=' |
 UNION ALL SELECT i, 'slim', '{"event_id":' || CAST(i AS VARCHAR) || CASE WHEN i % 20 <> 0 THEN ',"mail":"m"' ELSE '' END || CASE WHEN i % 30 = 0 THEN ',"areas":["x"]' ELSE '' END || '}' FROM e"""
 
 QUERIES |= {f.__name__: f for f in (page_main_text, directory_listings, profile_pages, ranked_lookup, rating_matches, url_lookups, feed_forms)}
+
+
+def taxonomy_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as records: departments by name, alias or pattern, subfields by area or text, fields and divisions."""
+    from quarry.operators.taxonomy import Department, Subfield, Taxonomy, department_names
+
+    taxonomy = Taxonomy(
+        {"eng": ("Engineering", "(?i)bolt|rod"), "sea": ("Sea", "")}, (Department("Widget Science", "sea", ("widget", "Department of Widgets")), Department("Gears & Rods", "eng")),
+        {"cold": "Cold things", "big": "Big things"}, (Subfield("ice", "Ice", "cold", ("cold", "frozen"), ("冰",)), Subfield("large", "Large", "big", ("large", "huge")), Subfield("blue", "Blue", "cold", ("blue",))),
+    )
+    p = table(spark, sf_dir, "part")
+    word = F.split_part("p_name", F.lit(" "), F.lit(2))
+    own = department_names(word, F.array(F.concat(F.lit("Department of "), F.initcap(word), F.lit("s"))), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("Gears and Rods"), F.upper(word))))
+    out = taxonomy.classify(p, own, F.when(F.col("p_size") % 5 == 0, F.array(F.lit("Huge"))).otherwise(F.array().cast("array<string>")), F.col("p_name"))
+    joined = lambda c: F.array_join(c, ",")
+    return out.select("p_partkey", joined(F.transform("departments_", lambda d: d["name"])).alias("departments"), joined("divisions").alias("divisions"), joined("subfields").alias("subfields"), joined("fields").alias("fields"))
+
+
+SQL["taxonomy_classes"] = r"""WITH p AS (
+  SELECT p_partkey, p_size, p_name, split_part(p_name, ' ', 2) AS w, upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) || 's' AS ws FROM part
+), d AS (
+  SELECT *, CASE WHEN w = 'widget' THEN ['Widget Science'] ELSE [w, 'Department of ' || ws] END || CASE WHEN p_size % 2 = 0 THEN ['Gears & Rods'] ELSE [] END AS names,
+    CASE WHEN w = 'widget' THEN ['sea'] WHEN w IN ('bolt', 'rod') THEN ['eng'] ELSE ['other'] END AS d1, CASE WHEN p_size % 5 = 0 THEN ['large'] ELSE list_filter([CASE WHEN p_name LIKE 'cold%' THEN 'ice' END, CASE WHEN p_name LIKE 'large%' THEN 'large' END, CASE WHEN p_name LIKE 'blue%' THEN 'blue' END], lambda x: x IS NOT NULL) END AS s FROM p
+)
+SELECT p_partkey, array_to_string(names, ',') AS departments, array_to_string(CASE WHEN p_size % 2 = 0 AND d1 <> ['eng'] THEN d1 || ['eng'] ELSE d1 END, ',') AS divisions, array_to_string(s, ',') AS subfields,
+  array_to_string(list_filter([CASE WHEN list_contains(s, 'ice') OR list_contains(s, 'blue') THEN 'cold' END, CASE WHEN list_contains(s, 'large') THEN 'big' END], lambda x: x IS NOT NULL), ',') AS fields FROM d"""
+
+QUERIES["taxonomy_classes"] = taxonomy_classes

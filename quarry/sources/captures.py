@@ -58,9 +58,11 @@ def write_lines(df: DataFrame, path: str) -> None:
 
 
 def write_markdown(df: DataFrame, path: str) -> None:
-    """Each row as a line of a Markdown table, without header."""
+    """A report as one Markdown table with its header. For reports, which are small: it is one file, written by one task."""
     cells = [F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in df.columns]
-    df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")).write.mode("overwrite").text(path)
+    rows = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+    head = [f"| {' | '.join(df.columns)} |", f"|{'---|' * len(df.columns)}"]
+    df.sparkSession.createDataFrame([(h,) for h in head], "value string").coalesce(1).unionByName(rows.coalesce(1)).coalesce(1).write.mode("overwrite").text(path)
 
 
 def vcards(rows: DataFrame, key: str, body: str) -> DataFrame:
