@@ -14,7 +14,7 @@ to the group's least says so. No link is lost, and work grows with the number of
 Links of two or three bits stand for a similarity of about 0.95 or more. ``similar_groups`` is for a given similarity of the
 sets of shingles: it verifies the SimHash links, and further candidates from bands of minimum hashes, since no number of bits
 that deletion variants can reach holds all pairs of similarity 0.8. Buckets of a band of up to MAX_BUCKET members pair all. In
-a larger one, members are paired with two of them first, those with the least and the greatest hash. Where the
+a larger one, members are paired with two of them first, the one that shares most buckets with others and the first. Where the
 links so found leave a bucket's members in several groups, a similarity join with a prefix filter on rare shingles finds all
 similar pairs of these members across the groups, so no pair that shares a bucket is lost.
 
@@ -288,9 +288,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     first_row = F.min_by("rid", F.struct(F.col("id").isNull(), "id", "rid")).alias("head")
     sets = kept(marked.groupBy("sig").agg(F.min("rid").alias("rid"), F.min("id").alias("id"), first_row, F.min_by(F.struct("fp", "keys"), "rid").alias("s")).select("sig", "rid", "id", "head", "s.*"))
     bands = sets.select("sig", F.explode("keys").alias("key"))  # a key tells its band
-    sizes = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("sig").alias("first"), F.max("sig").alias("last")).where("n > 1")
+    sizes = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("sig").alias("first")).where("n > 1")
     members = kept(bands.join(sizes.hint("merge"), "key"))
-    stars = members.select("sig", F.explode(F.array("first", "last")).alias("other"))
+    degree = shared_table(members.groupBy("sig").agg(F.sum("n").alias("degree")))
+    hubs = kept(members.join(degree.hint("merge"), "sig").groupBy("key").agg(F.max_by("sig", F.struct("degree", "sig")).alias("hub")))
+    stars = members.join(hubs.hint("merge"), "key").select("sig", F.explode(F.array("hub", "first")).alias("other"))
     small = members.where((F.col("n") > 2) & (F.col("n") <= MAX_BUCKET)).groupBy("key").agg(F.collect_list("sig").alias("sigs"))
     few = small.select(F.explode("sigs").alias("sig"), "sigs").select("sig", F.explode("sigs").alias("other"))
     by_fp = kept(sets.groupBy("fp").agg(F.min("sig").alias("first")))
@@ -316,6 +318,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     heads = shared_table(grouped.groupBy("root").agg(F.min("id").alias("component_id"), F.min_by("head", F.struct(F.col("id").isNull(), "id", "head")).alias("head")))
     told = shared_table(grouped.select("sig", "root").join(heads.hint("merge"), "root").select("sig", "component_id", "head"))
     chosen = kept(marked.select("rid", "sig").join(told.hint("merge"), "sig").select("rid", "component_id", (F.col("rid") == F.col("head")).alias("stays")))
-    drop_shared(marked, sets, members, by_fp, pairs, rooted, apart, unsettled, heads, told)
+    drop_shared(marked, sets, members, degree, hubs, by_fp, pairs, rooted, apart, unsettled, heads, told)
     # dealt out at every size alike: what this costs is in proportion to the texts
     return rows.join(chosen.hint("merge"), "rid").select("_row", "component_id", "stays")
