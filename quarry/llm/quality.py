@@ -1,7 +1,9 @@
 """Host-level quality rules, in DataFrame functions only.
 
-Every document is measured once; its failures are summed by host with a partial aggregation, each host's failure
-rate is shrunk towards a beta prior fitted to all hosts by moments, and the host's verdict is joined back.
+Every document is measured once. The documents that fail each rule (few words, repeated windows, symbols, repeated lines) are summed
+by host with a partial aggregation, each host's rate of failure by each rule is shrunk towards a beta prior fitted to all hosts by
+moments, and the host's verdict is joined back: a host is rejected where it fails a rule more often than not. The first two rules
+also reject a document by itself.
 
 Defined results: a null text has no words and fails; a null host has no verdict, so only the document's own rules
 count; repeated rows are measured and counted one by one; an empty table gives no rows; other columns are not read.
@@ -18,10 +20,11 @@ from quarry.plans.shared import shared_table
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+RULES = ("few_words", "repeats", "symbols", "dup_lines")
 
 
-def measured(docs: DataFrame, min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
-    """docs has _text; adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+def measured(docs: DataFrame, min_words: int = 10, repeat_percent: int = 20, symbol_percent: int = 10, line_percent: int = 30) -> DataFrame:
+    """docs has _text; adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fails (struct of RULES) and base_failed."""
     text = F.coalesce(F.col("_text"), F.lit(""))
     has_word = f"[^{SPACE}]"
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(has_word))
@@ -37,6 +40,7 @@ def measured(docs: DataFrame, min_words: int = 10, repeat_percent: int = 20) ->
     out = out.withColumns(
         {
             "n_words": n.cast("long"),
+            "_n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "_w": F.expr(
                 f"transform(slice(_h, 1, greatest(size(_h) - {WINDOW - 1}, 0)), (h, i) -> xxhash64(h, "
@@ -56,28 +60,34 @@ def measured(docs: DataFrame, min_words: int = 10, repeat_percent: int = 20) ->
             f"coalesce(aggregate(_p, struct(-{WINDOW} as last, 0L as n), (a, p) -> struct(p as last, a.n + least({WINDOW}, p - a.last) as n), a -> a.n), 0L)"
         ),
     )
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_h", "_w", "_s", "_p")
+    fails = F.struct(
+        (F.col("n_words") < min_words).alias("few_words"), (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")).alias("repeats"),
+        (100 * F.col("n_symbols") > symbol_percent * F.col("word_chars")).alias("symbols"), (100 * F.col("n_dup_lines") > line_percent * F.col("_n_lines")).alias("dup_lines"),
+    )
+    out = out.withColumn("fails", fails).withColumn("base_failed", F.col("fails.few_words") | F.col("fails.repeats"))
+    return out.drop("_h", "_w", "_s", "_p", "_n_lines")
 
 
 def host_verdicts(scored: DataFrame, max_rate: float = 0.5, default_strength: float = 10.0) -> DataFrame:
-    """scored has _host and base_failed; one row per host that is not null.
+    """scored has _host, fails and base_failed; one row per host that is not null, with a posterior rate for each rule.
 
-    The prior is Beta(m k, (1 - m) k), m the mean of the hosts' failure rates and k = m (1 - m) / v - 1, v their
+    The prior of a rule is Beta(m k, (1 - m) k), m the mean of the hosts' failure rates and k = m (1 - m) / v - 1, v their
     variance; default_strength stands for k where v is zero or leaves k not positive. A host is rejected if its
-    posterior mean rate is over max_rate.
+    posterior mean rate is over max_rate by any rule.
     """
-    hosts = scored.where(F.col("_host").isNotNull()).groupBy("_host").agg(
-        F.count("*").alias("host_docs"), F.count_if("base_failed").alias("host_failed")
-    )
-    rate = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    k = F.col("m") * (1 - F.col("m")) / F.nullif(F.col("v"), F.lit(0.0)) - 1
-    strength = F.when(k > 0, k).otherwise(F.lit(default_strength))
-    prior = prior.select("m", strength.alias("k"))
-    m, k = prior.select("m").scalar(), prior.select("k").scalar()
-    shrunk = (F.col("host_failed") + m * k) / (F.col("host_docs") + k)
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") > max_rate)
+    counts = [F.count_if(f"fails.{r}").alias(r) for r in RULES]
+    hosts = scored.where(F.col("_host").isNotNull()).groupBy("_host").agg(F.count("*").alias("host_docs"), F.count_if("base_failed").alias("host_failed"), *counts)
+    moments = hosts.agg(*[f(F.col(r) / F.col("host_docs")).alias(f"{n}_{r}") for r in RULES for n, f in (("m", F.avg), ("v", F.var_pop))])
+    priors = []
+    for r in RULES:
+        m = F.col(f"m_{r}")
+        k = m * (1 - m) / F.nullif(F.col(f"v_{r}"), F.lit(0.0)) - 1
+        priors.append(F.struct(m.alias("m"), F.when(k > 0, k).otherwise(F.lit(default_strength)).alias("k")).alias(r))
+    prior = moments.select(F.struct(*priors)).scalar()
+    shrunk = lambda r: (F.col(r) + prior[r]["m"] * prior[r]["k"]) / (F.col("host_docs") + prior[r]["k"])
+    rates = F.struct(*[shrunk(r).alias(r) for r in RULES])
+    rated = hosts.select("_host", "host_docs", "host_failed", rates.alias("host_rates"))
+    return rated.withColumn("host_rejected", F.greatest(*[F.col(f"host_rates.{r}") for r in RULES]) > max_rate)
 
 
 def quality_rules(

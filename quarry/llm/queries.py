@@ -127,26 +127,29 @@ WITH d AS (
 ), rep AS (
   SELECT rid, count(DISTINCT p + k) AS n FROM dup, (SELECT unnest(range(0, 5)) AS k) GROUP BY rid
 ), m AS (
-  SELECT w.rid, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
+  SELECT w.rid, doc_id, source, len(lines) AS n_lines, CAST(len(ws) AS BIGINT) AS n_words,
     CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN rep ON rep.rid = w.rid
 ), f AS (
-  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+  SELECT *, n_words < 10 AS r1, 100 * n_repeat_words > 20 * n_words AS r2, 100 * n_symbols > 10 * word_chars AS r3, 100 * n_dup_lines > 30 * n_lines AS r4 FROM m
 ), h AS (
-  SELECT source, count(*) AS host_docs, count(*) FILTER (WHERE base_failed) AS host_failed FROM f WHERE source IS NOT NULL GROUP BY source
+  SELECT source, count(*) AS host_docs, count(*) FILTER (WHERE r1 OR r2) AS host_failed, count(*) FILTER (WHERE r1) AS f1, count(*) FILTER (WHERE r2) AS f2, count(*) FILTER (WHERE r3) AS f3,
+    count(*) FILTER (WHERE r4) AS f4 FROM f WHERE source IS NOT NULL GROUP BY source
+), long AS (
+  SELECT source, host_docs, unnest([1, 2, 3, 4]) AS r, unnest([f1, f2, f3, f4]) AS n FROM h
 ), prior AS (
-  SELECT avg(host_failed / host_docs) AS a, var_pop(host_failed / host_docs) AS v FROM h
+  SELECT r, avg(n / host_docs) AS a, var_pop(n / host_docs) AS v FROM long GROUP BY r
 ), k AS (
-  SELECT a, CASE WHEN v > 0 AND a * (1 - a) / v - 1 > 0 THEN a * (1 - a) / v - 1 ELSE 10.0 END AS k FROM prior
+  SELECT r, a, CASE WHEN v > 0 AND a * (1 - a) / v - 1 > 0 THEN a * (1 - a) / v - 1 ELSE 10.0 END AS k FROM prior
 ), verdict AS (
-  SELECT h.*, (host_failed + a * k) / (host_docs + k) > 0.5 AS host_rejected FROM h, k
+  SELECT source, bool_or((n + a * k) / (host_docs + k) > 0.5) AS host_rejected FROM long JOIN k USING (r) GROUP BY source
 )
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(host_rejected, FALSE) AS kept, host_docs, host_failed
-FROM f LEFT JOIN verdict v ON f.source = v.source
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r1 OR r2 AS base_failed,
+  NOT (r1 OR r2) AND NOT coalesce(host_rejected, FALSE) AS kept, host_docs, host_failed
+FROM f LEFT JOIN h ON f.source = h.source LEFT JOIN verdict v ON f.source = v.source
 """
 
 SQL["op8_chat"] = r"""
