@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry import page_queries, record_queries, text_queries
 from quarry.functions import dates, html, text, urls
-from quarry.operators import merge, quality, resolve, search
+from quarry.operators import merge, quality, resolve, search, temporal
 from quarry.plans import graph
 from quarry.plans.shared import stored, table
 from quarry.streaming import queue, windows
@@ -725,7 +725,7 @@ def session_window_events(spark, sf):
 def streamed_window_events(spark, sf):
     """The same windows by Structured Streaming, over all events that are there."""
     events = table(spark, sf, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]")
     return windows.drained(windows.windowed(stream, "ts", "event_type", "value", "1 day"))
 
 
@@ -734,6 +734,47 @@ def json_pointer_props(spark, sf):
     return table(spark, sf, "events").groupBy(F.get_json_object("props", "$.k").cast("bigint").alias("k")).agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH v AS (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY 1, 2)
+    SELECT p.event_id, p.user_id, v.event_id AS right_event_id FROM events p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts WHERE p.event_type = 'purchase'"""
+)
+def asof_last_view(spark, sf):
+    """Each purchase with the user's last view before it."""
+    e = table(spark, sf, "events")
+    return temporal.asof(e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), "user_id", "ts", ["event_id"]).select("event_id", "user_id", "right_event_id")
+
+
+@query(
+    """SELECT p_partkey, c_nationkey AS nation, count(*) AS n FROM part JOIN customer ON p_retailprice BETWEEN c_acctbal AND c_acctbal + 10 * (c_custkey % 5) WHERE p_partkey % 7 = 0 GROUP BY 1, 2"""
+)
+def prices_in_ranges(spark, sf):
+    """Parts whose price lies in a customer's range, by nation."""
+    c = table(spark, sf, "customer")
+    met = temporal.in_ranges(table(spark, sf, "part").where("p_partkey % 7 = 0"), F.col("p_retailprice"), c, F.col("c_acctbal"), F.col("c_acctbal") + 10 * (F.col("c_custkey") % 5), 25.0)
+    return met.groupBy("p_partkey", F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT coalesce(l_returnflag, '*') AS flag, coalesce(l_linestatus, '*') AS status, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)"""
+)
+def cube_flags(spark, sf):
+    rows = table(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    return rows.select(F.coalesce("l_returnflag", F.lit("*")).alias("flag"), F.coalesce("l_linestatus", F.lit("*")).alias("status"), "n", "quantity")
+
+
+@query(
+    """SELECT coalesce(r_name, '*') AS region, coalesce(n_name, '*') AS nation, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)"""
+)
+def rollup_regions(spark, sf):
+    joined = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.rollup("r_name", "n_name").agg(F.count("*").alias("customers")).select(F.coalesce("r_name", F.lit("*")).alias("region"), F.coalesce("n_name", F.lit("*")).alias("nation"), "customers")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 80")
+def third_page(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(80).limit(40)
+
+
 for _own in (text_queries, record_queries, page_queries):
     QUERIES |= _own.QUERIES
     SQL |= _own.SQL

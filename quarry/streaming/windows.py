@@ -29,15 +29,28 @@ def sessions(events: DataFrame, at: str, key: str, gap: str, late: str = "1 hour
 
 
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now, and return the last state (complete) or all rows (append)."""
+    """Run a stream over all that is there now, and return the last state (complete) or all rows (append).
+
+    Each batch has a folder of its number, which a batch that runs again writes anew, so nothing is lost or counted twice.
+    """
     spark = stream.sparkSession
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{root}/out")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/_batch={number}")
 
-    spark.createDataFrame([], schema).write.parquet(f"{root}/out")
+    spark.createDataFrame([], schema).write.parquet(f"{root}/out/_batch=-1")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{root}/out")
+    read = lambda number: spark.read.schema(schema).parquet(f"{root}/out/_batch={number}")
+    last = query.lastProgress
+    numbers = range(last.batchId + 1) if last else range(0)
+    if mode == "complete":
+        return read(numbers[-1] if numbers else -1)
+    whole = read(-1)
+    for k in numbers:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/out/_batch={k}")
+        if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            whole = whole.unionByName(read(k))
+    return whole
