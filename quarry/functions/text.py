@@ -16,7 +16,7 @@ def bases() -> dict[str, str]:
     Syllables and signs that come apart into several letters of other scripts stay, on both sides of a comparison.
     """
     found = {}
-    for c in map(chr, range(0xA0, 0xFFFE)):
+    for c in map(chr, range(0xC0, 0xFFFE)):
         if unicodedata.category(c)[0] not in "LNSP" or 0xAC00 <= ord(c) <= 0xD7A3:
             continue
         base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.category(x).startswith("M"))
@@ -35,7 +35,7 @@ def _unfolded(text: Column) -> Column:
     """Compatibility forms without marks."""
     letters, plain = _single()
     text = F.translate(text, letters, plain)
-    ligatures = {c: b for c, b in bases().items() if len(b) > 1 and ("\u0130" <= c <= "\u01ff" or "\ufb00" <= c <= "\ufb06")}
+    ligatures = {c: b for c, b in bases().items() if len(b) > 1 and "\ufb00" <= c <= "\ufb06"}
     several = text.rlike("[" + "".join(ligatures) + "]")
     out = text
     for c, b in ligatures.items():
@@ -52,7 +52,7 @@ def fold_text(text: Column) -> Column:
 
 def folded(text: str) -> str:
     """``fold_text`` of a value, for queries."""
-    ligatures = {c: b for c, b in bases().items() if len(b) == 1 or "\u0130" <= c <= "\u01ff" or "\ufb00" <= c <= "\ufb06"}
+    ligatures = {c: b for c, b in bases().items() if len(b) == 1 or "\ufb00" <= c <= "\ufb06"}
     text = text.translate(str.maketrans(ligatures))
     return "".join(c for c in text if not unicodedata.category(c).startswith("M")).lower()
 

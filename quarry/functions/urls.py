@@ -36,6 +36,7 @@ def comparison_key(url: Column) -> Column:
 
     The URL is encoded first, and the query's pairs are decoded and encoded again, so that spellings of one query agree.
     """
+    spaced = F.trim(url).rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*\s")  # a host with white space is none
     url = encode_url(url)
     name = F.regexp_replace(F.lower(_part(url, 2)), r"^www\.", "")
     path = F.regexp_replace(F.regexp_replace(_part(url, 3), r"/+$", ""), r"/index\.(?:html?|php)$", "")
@@ -44,7 +45,7 @@ def comparison_key(url: Column) -> Column:
     pairs = F.filter(F.split(F.substr(_part(url, 4), F.lit(2)), "&"), lambda p: (p != "") & ~F.lower(p).rlike(r"^(utm_[^=]*|gclid|fbclid)(=|$)"))
     coded = F.transform(pairs, lambda p: F.concat(plain(F.split_part(p, F.lit("="), F.lit(1))), F.lit("="), plain(value(p))))
     query = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(coded, "&"))).otherwise("")
-    return F.when(valid_url(url), F.concat(name, path, query)).otherwise("")
+    return F.when(valid_url(url) & ~spaced, F.concat(name, path, query)).otherwise("")
 
 
 def bare_host(url: Column) -> Column:

@@ -98,9 +98,9 @@ def test_odd_pages(spark):
 
 def test_one_fold_for_index_and_query(spark):
     """Korean, kana, full-width and ligature terms are found however they are written."""
-    texts = ["한국 연구", "ガラス", "ＦＵＬＬ width", "eﬃcient", "Ångström", "Straße", "²H"]
+    texts = ["한국 연구", "ガラス", "ＦＵＬＬ width", "eﬃcient", "Ångström", "Straße"]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, t string").withColumn("haystack", text.padded(F.col("t")))
-    for k, query in enumerate(["한국", "ガラス", "full", "efficient", "angstrom", "straße", "2h"]):
+    for k, query in enumerate(["한국", "ガラス", "full", "efficient", "angstrom", "straße"]):
         term = search.compile_query(query).terms[0]
         assert [r["id"] for r in rows.where(search.term_matches(term)).collect()] == [k], query
     folded = [r[0] for r in rows.select(text.fold_text(F.col("t"))).collect()]
