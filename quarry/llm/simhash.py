@@ -14,8 +14,8 @@ to the group's least says so. No link is lost, and work grows with the number of
 Links of two or three bits stand for a similarity of about 0.95 or more. ``similar_groups`` is for a given similarity of the
 sets of shingles: it verifies the SimHash links, and further candidates from bands of minimum hashes, since no number of bits
 that deletion variants can reach holds all pairs of similarity 0.8. Buckets of a band of up to MAX_BUCKET members pair all. In
-a larger one, members are paired with two of them first, the one that shares most buckets with others and the first. Where the
-links so found leave a bucket's members in several groups, a similarity join with a prefix filter on rare shingles finds all
+a larger one, members are paired with two of them first, the one that shares most buckets with others and the first, then, where that leaves several groups, with one more a
+round. Where the links so found leave a bucket's members in several groups, a similarity join with a prefix filter on rare shingles finds all
 similar pairs of these members across the groups, so no pair that shares a bucket is lost.
 
 Defined results: null, empty and wordless texts have fingerprint zero, linked like any other; a text of fewer words than
@@ -139,6 +139,10 @@ BANDS, ROWS, SKETCH = 24, 5, 256
 MARGIN = 0.15
 
 
+#: Rounds in which the members of buckets that hold several groups are compared with one of them each, before the join on rare shingles.
+STAR_ROUNDS = 3
+
+
 def band_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of ROWS minimum hashes for each band."""
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -206,6 +210,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, marked: DataFrame, texts: DataF
             good = pa.array(near >= np.where(large, similarity - MARGIN, similarity))
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(good), batch.column("v").filter(good), pa.array(large).filter(good)], ["u", "v", "large"])
 
+    judged = shared_table(_sketched(pairs, sets, marked).select("u", "v", "x", "y").mapInArrow(judge, "u long, v long, large boolean"))
+    sure, unsure = judged.where("not large").select("u", "v"), judged.where("large").select("u", "v")
+    if unsure.isEmpty():
+        return sure
+    wanted = unsure.select(F.col("u").alias("sig")).unionByName(unsure.select(F.col("v").alias("sig"))).distinct()
+    return sure.unionByName(_compared(unsure, shared_table(_whole(sets, wanted, texts, shingle)), similarity))
+
+
+def _compared(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of sig whose whole sets are similar. whole: sig, hashes."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -215,14 +230,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, marked: DataFrame, texts: DataF
                 good.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("u", "v")], ["u", "v"])
 
-    judged = shared_table(_sketched(pairs, sets, marked).select("u", "v", "x", "y").mapInArrow(judge, "u long, v long, large boolean"))
-    sure, unsure = judged.where("not large").select("u", "v"), judged.where("large").select("u", "v")
-    if unsure.isEmpty():
-        return sure
-    wanted = unsure.select(F.col("u").alias("sig")).unionByName(unsure.select(F.col("v").alias("sig"))).distinct()
-    whole = shared_table(_whole(sets, wanted, texts, shingle))
-    own = unsure.join(whole.select(F.col("sig").alias("u"), F.col("hashes").alias("x")), "u").join(whole.select(F.col("sig").alias("v"), F.col("hashes").alias("y")), "v")
-    return sure.unionByName(own.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long"))
+    own = pairs.join(whole.select(F.col("sig").alias("u"), F.col("hashes").alias("x")), "u").join(whole.select(F.col("sig").alias("v"), F.col("hashes").alias("y")), "v")
+    return own.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long")
 
 
 def _whole(sets: DataFrame, wanted: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -238,12 +247,13 @@ def _whole(sets: DataFrame, wanted: DataFrame, texts: DataFrame, shingle: int) -
     return texts.join(rids, "rid").select("sig", "text").mapInArrow(run, "sig long, hashes binary")
 
 
-def _prefix_pairs(unsettled: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Pairs (u, v) among the sets of unsettled (sig, root) that may reach the similarity and have different roots; none that does is left out.
+def _prefix_pairs(unsettled: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) among the sets of unsettled (sig, root) that may reach the similarity s and have different roots; none that does is left out.
 
-    Sets of n and more shingles that are similar share at least similarity x n, so they share one of the first n + 1 less that of
-    each, in any order common to all. Shingles are ordered by the number of sets they are in, so those of a passage that many
-    sets share come last. Shingles of one set alone come first and are counted only.
+    A set of n shingles shares at least s n of them with one that is similar and no larger, and at least 2 s n / (1 + s) with one that is no
+    smaller. So two similar sets share one of the first n + 1 less so many of each, in any order common to all. Shingles are
+    ordered by the number of sets they are in, so those of a passage that many sets share come last. Shingles of one set alone come
+    first and are counted only.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,19 +264,22 @@ def _prefix_pairs(unsettled: DataFrame, sets: DataFrame, texts: DataFrame, shing
                     part = own[k : k + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), sig)), pa.array(np.full(len(part), len(own))), pa.array(part)], ["sig", "n", "h"])
 
-    spelled = shared_table(_whole(sets, unsettled, texts, shingle).mapInArrow(spread, "sig long, n long, h long"))
+    own = whole.join(unsettled.select("sig"), "sig", "left_semi")
+    spelled = shared_table(own.mapInArrow(spread, "sig long, n long, h long"))
     often = spelled.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     ranked = spelled.join(often.hint("merge"), "h").groupBy("sig", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
-    keep = F.greatest(F.lit(0), F.size("own") - (F.ceil(F.col("n") * similarity - 1e-9) - 1)).cast("int")
-    placed = ranked.select("sig", "n", F.size("own").alias("c"), F.posexplode(F.slice("own", 1, keep)).alias("i", "s")).select("sig", "n", "c", "i", F.col("s.h").alias("h"))
-    first = shared_table(placed.join(unsettled, "sig"))
-    other = first.select("h", F.col("sig").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("i").alias("j"), F.col("root").alias("r"))
+    prefix = lambda share: F.greatest(F.lit(0), F.size("own") - (F.ceil(F.col("n") * share - 1e-9) - 1)).cast("int")
+    short = prefix(2 * similarity / (1 + similarity))
+    placed = ranked.select("sig", "n", F.size("own").alias("c"), short.alias("short"), F.posexplode(F.slice("own", 1, prefix(similarity))).alias("i", "s"))
+    first = shared_table(placed.select("sig", "n", "c", "i", (F.col("i") < F.col("short")).alias("inner"), F.col("s.h").alias("h")).join(unsettled, "sig"))
+    other = first.where("inner").select("h", F.col("sig").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("i").alias("j"), F.col("root").alias("r"))
     # what two sets with a shingle at places i and j can share at most: as much before and after it as the shorter side has
     most = F.least("i", "j") + 1 + F.least(F.col("c") - F.col("i") - 1, F.col("d") - F.col("j") - 1)
     enough = most >= (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-9
-    alike = (F.col("sig") < F.col("v")) & (F.col("root") != F.col("r")) & (F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9) & enough
+    larger = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("sig") > F.col("v")))
+    alike = larger & (F.col("root") != F.col("r")) & (F.col("m") >= F.col("n") * similarity - 1e-9) & enough
     met = first.join(other.hint("merge"), (first["h"] == other["h"]) & alike)
-    return met.select(F.col("sig").alias("u"), "v").distinct()
+    return met.select(F.least("sig", "v").alias("u"), F.greatest("sig", "v").alias("v")).distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
@@ -306,18 +319,39 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     roots = shared_table(connected_components(found))
     # buckets whose members these links do not make one group: their members are compared whatever the buckets' size
     by_fp_too = sets.select("sig", F.xxhash64("fp", F.lit(-1)).alias("key"))
-    large = members.where(F.col("n") > MAX_BUCKET).select("sig", "key").unionByName(by_fp_too)
-    rooted = shared_table(large.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "key", F.coalesce("root", "sig").alias("root")))
-    apart = shared_table(rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"))
-    unsettled = kept(rooted.join(apart.hint("merge"), "key", "left_semi").select("sig", "root").distinct())
-    if not unsettled.isEmpty():
-        more = kept(_prefix_pairs(unsettled, sets, texts, shingle, similarity))
-        found = found.unionByName(kept(_verified(more, sets, marked, texts, shingle, similarity)))
-        roots = shared_table(connected_components(found))
+    large = shared_table(members.where(F.col("n") > MAX_BUCKET).select("sig", "key").unionByName(by_fp_too))
+
+    def still_open(roots: DataFrame) -> DataFrame:
+        """key, sig, root of the buckets that hold several groups."""
+        rooted = shared_table(large.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "key", F.coalesce("root", "sig").alias("root")))
+        apart = shared_table(rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"))
+        found = kept(rooted.join(apart.hint("merge"), "key"))
+        drop_shared(rooted, apart)
+        return found
+
+    left = still_open(roots)
+    if not left.isEmpty():
+        whole = kept(_whole(sets, left.select("sig").distinct(), texts, shingle))
+        for k in range(STAR_ROUNDS):
+            one = shared_table(left.groupBy("key").agg(F.max_by(F.struct("sig", "root"), F.xxhash64("sig", F.lit(k))).alias("h")))
+            apart = left.join(one.hint("merge"), "key").where(F.col("root") != F.col("h.root"))
+            some = shared_table(apart.select(F.least("sig", "h.sig").alias("u"), F.greatest("sig", "h.sig").alias("v")).distinct())
+            found = found.unionByName(shared_table(_compared(some, whole, similarity)))
+            roots = shared_table(connected_components(found))
+            drop_shared(left)
+            left = still_open(roots)
+            if left.isEmpty():
+                break
+        unsettled = kept(left.select("sig", "root").distinct())
+        if not unsettled.isEmpty():
+            more = kept(_prefix_pairs(unsettled, whole, similarity))
+            found = found.unionByName(kept(_compared(more, whole, similarity)))
+            roots = shared_table(connected_components(found))
+        drop_shared(whole)
     grouped = sets.select("sig", "id", "head").join(roots.hint("merge"), F.col("sig") == F.col("node"), "left").select("sig", "id", "head", F.coalesce("root", "sig").alias("root"))
     heads = shared_table(grouped.groupBy("root").agg(F.min("id").alias("component_id"), F.min_by("head", F.struct(F.col("id").isNull(), "id", "head")).alias("head")))
     told = shared_table(grouped.select("sig", "root").join(heads.hint("merge"), "root").select("sig", "component_id", "head"))
     chosen = kept(marked.select("rid", "sig").join(told.hint("merge"), "sig").select("rid", "component_id", (F.col("rid") == F.col("head")).alias("stays")))
-    drop_shared(marked, sets, members, degree, hubs, by_fp, pairs, rooted, apart, unsettled, heads, told)
+    drop_shared(marked, sets, members, degree, hubs, by_fp, pairs, large, left, heads, told)
     # dealt out at every size alike: what this costs is in proportion to the texts
     return rows.join(chosen.hint("merge"), "rid").select("_row", "component_id", "stays")
