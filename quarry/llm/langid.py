@@ -35,6 +35,8 @@ LETTERS = regex.compile(r"\p{L}+")
 MAX_PIECE, ROUNDS, BYTE_FLOOR = 12, 4, 1e-7
 #: Words of one forward pass, and entries of a worker's word table.
 BLOCK, MAX_WORDS = 4096, 400_000
+#: Words whose lattices are held at once while learning.
+LEARN_BLOCK = 512
 #: Scores are divided by this share of the number of words, to the power 1/2, before the posterior is taken.
 TEMPER = 0.5
 
@@ -132,8 +134,8 @@ def expected(words: list[bytes], counts: np.ndarray, keys: np.ndarray, probs: np
     """Expected count of each piece over all segmentations of the words; probs: (pieces,)."""
     got = np.zeros(len(keys))
     order = sorted(range(len(words)), key=lambda k: -len(words[k]))
-    for k in range(0, len(order), BLOCK):
-        some = order[k : k + BLOCK]
+    for k in range(0, len(order), LEARN_BLOCK):
+        some = order[k : k + LEARN_BLOCK]
         own = [words[j] for j in some]
         lengths = np.array([len(w) for w in own])
         arcs = list(_lattice(own, keys))
