@@ -120,6 +120,13 @@ def block(node: Node) -> Node:
     return plain or node
 
 
+def span(value: str, most: int | None = None) -> int:
+    """Columns or rows that a cell spans: the number at the beginning of the attribute, one where there is none."""
+    digits = re.match(r"\s*\+?0*([0-9]*)", value)[1]
+    number = max(1, int(digits[:18] or 1))
+    return number if most is None else min(number, most)
+
+
 def table_cells(table: Node) -> list[list[str]]:
     """The rows of a table, in which a cell stands in every row and column that it spans."""
     rows, carried = [], {}
@@ -136,7 +143,8 @@ def table_cells(table: Node) -> list[list[str]]:
                 continue
             cell = own.pop(0)
             text = cell.text()
-            spans = [int(v) if (v := cell.attributes.get(k, "1")).isdigit() and 0 < int(v) < 1000 else 1 for k in ("colspan", "rowspan")]
+            # rows are only counted down; columns are written out, up to the 1,000 that HTML defines
+            spans = span(cell.attributes.get("colspan", "1"), 1000), span(cell.attributes.get("rowspan", "1"))
             for _ in range(spans[0]):
                 cells.append(text)
                 if spans[1] > 1:

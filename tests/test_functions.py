@@ -73,3 +73,12 @@ def test_sentences_and_mail(spark):
     t = "Short. " + "This long sentence tells what the group studies and why it does. " + "End."
     assert column(spark, [t, None], lambda c: text.first_sentence(c, ["studies"])) == ["This long sentence tells what the group studies and why it does.", None]
     assert column(spark, ["write to A.b@C.edu or x@y.org", "none", None], text.first_email) == ["a.b@c.edu", None, None]
+
+
+def test_spans_of_any_number_of_rows():
+    from quarry.functions import markup
+
+    table = lambda rows: markup.table_cells(next(markup.tree(f"<table>{rows}</table>").all()))
+    body = "".join(f"<tr><td>{i}</tr>" for i in range(2500))
+    assert table(f"<tr><td rowspan=2501>N</td><td>x</tr>{body}<tr><td>last</tr>") == [["N", "x"], *[["N", str(i)] for i in range(2500)], ["last"]]
+    assert [len(r) for r in table("<tr><td colspan='²'>a</td><td colspan=1000>b</td><td rowspan=0>c</td><td colspan='2 '>d</tr>")] == [1 + 1000 + 1 + 2]
