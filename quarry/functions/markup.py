@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
 
@@ -89,9 +90,16 @@ class _Reader(HTMLParser):
         self.now.children.append(data)
 
 
-def tree(html: str | None) -> Node:
+def closed_references(html: str) -> str:
+    """The page with the ampersands escaped that begin no character reference ended by a semicolon."""
+    known = lambda m: m[1] and (m[1][0] == "#" or m[1] in html5)
+    return re.sub(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)?", lambda m: m[0] if known(m) else f"&amp;{m[1] or ''}", html)
+
+
+def tree(html: str | None, closed: bool = False) -> Node:
+    """closed: character references count only where a semicolon ends them; HTML reads some, such as &amp, without one."""
     reader = _Reader()
-    reader.feed(html or "")
+    reader.feed(closed_references(html or "") if closed else html or "")
     reader.close()
     return reader.root
 
@@ -158,8 +166,8 @@ LINK = "array<struct<label:string,target:string,block:string,content:boolean>>"
 PAGE = f"title string, main string, headings array<struct<level:int,text:string>>, links {LINK}, tables array<array<array<string>>>, refresh string"
 
 
-def _page(html: str | None, base: str | None) -> dict:
-    root = tree(html)
+def _page(html: str | None, base: str | None, closed: bool = False) -> dict:
+    root = tree(html, closed)
     nodes = list(root.all(lambda n: n.tag in SILENT))
     content = main(root)
     inside = {id(n) for n in content.all(lambda n: n.chrome)}
@@ -175,11 +183,14 @@ def _page(html: str | None, base: str | None) -> dict:
     }
 
 
-def pages(rows: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """rows with ``page``: struct of title, main text, headings, links, tables and refresh target, read by a parser in one pass."""
+def pages(rows: DataFrame, url: str = "url", html: str = "html", closed: bool = False) -> DataFrame:
+    """rows with ``page``: struct of title, main text, headings, links, tables and refresh target, read by a parser in one pass.
+
+    closed: see ``tree``.
+    """
 
     def read(bodies: pd.Series, bases: pd.Series) -> pd.DataFrame:
-        found = [_page(h, b) for h, b in zip(bodies, bases, strict=True)]
+        found = [_page(h, b, closed) for h, b in zip(bodies, bases, strict=True)]
         return pd.DataFrame(found, columns=["title", "main", "headings", "links", "tables", "refresh"])
 
     return rows.withColumn("page", F.pandas_udf(read, PAGE)(F.col(f"`{html}`"), F.col(f"`{url}`")))
