@@ -2,21 +2,22 @@
 
 A text is its words (A-Z lower-cased) and an end. Each word is coded by its class, then within the class. The SINGLES most
 frequent words are classes of their own, the others share one by their last two bytes. The class is coded by binary decisions
-along a prefix code. Within its class, one of the HEAVY most frequent words has its share of the class; any other word is an
-escape, and the rest of it is spelled byte by byte from its end, along prefix codes of bytes by the byte before, closed by a gap. Every decision
-is predicted by several models, one for each hashed context: for classes the word before (its class where it is not frequent
+along a prefix code. Within its class, one of the HEAVY most frequent words is found by binary decisions down a tree of the class's words; any
+other word is an escape in this tree, and the rest of it is spelled byte by byte from its end, along prefix codes of bytes by the byte before, closed by a gap. Every decision
+is predicted by several models, one for each hashed context: for classes, and for words together with the class, the word before (its class where it is not frequent
 itself), the last of the LANDMARKS most frequent words before it, which tell language and subject, and a hash of the last two of these; for spelled words the byte before, the last three and five bytes and the whole word so far, which
 frequent words teach once each. A model holds how often a decision went either way in the training texts, smoothed towards
 the decision's own frequency, as log odds. A gate (how much the contexts have been seen; for bytes, how many models know the
 decision and whether the word's is sure) selects the weights by which the log odds are mixed; further weights that follow the text
-multiply these, and an adaptive probability map refines the result. Classes and bytes have weights and maps of their own, which move
+multiply these, and an adaptive probability map refines the result. Classes, words and bytes have weights and maps of their own, which move
 along the error after each STRIDE decisions. They begin anew after SEGMENT decisions (about two thousand words), so that many
 segments of many texts are read side by side; the contexts run on. The sum of the log probabilities is the score; bits per byte are given too.
 
 What is learned: counts of (context, symbol) pairs of all training texts, merged in two rounds of bounded tasks, then broken
 up into decisions. Class contexts have rows, whose number grows with the training tokens up to 2^ROW_BITS hashed ones. The decisions of
-bytes are kept in a hash table with an eight-bit tag an entry, where of decisions that meet the most frequent stays; it grows with
-the number of different words, up to 2^MAX_BITS entries, the memory that a worker is given.
+bytes and those of words are each kept in a hash table with an eight-bit tag an entry, where of decisions that meet the most frequent stays; it
+grows with the number of different words, or of tokens, up to 2^MAX_BITS entries, the memory that a worker is given. A word's decision that a
+context does not know has the odds that it has in the class.
 
 Base: unigram log probabilities with add-one smoothing. Word counts are aggregated by a shuffle. The HEAVY most frequent
 words are broadcast, a table of bounded size; the other words of the texts meet their counts in a join, where no word is
@@ -30,6 +31,7 @@ PART bytes, and a word of more bytes is spelled in parts; an empty table gives n
 from __future__ import annotations
 
 import heapq
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,27 +47,29 @@ from pyspark.sql import functions as F
 from quarry.llm.common import slices, word_bytes
 from quarry.plans.shared import shared_table
 
-#: Words with a share of their class, words that are a class, suffixes that are a class, words that are a context of their own, words that tell
+#: Words in the trees of their classes, words that are a class, suffixes that are a class, words that are a context of their own, words that tell
 #: language and subject.
 HEAVY, SINGLES, SUFFIXES, PREVIOUS, LANDMARKS = 400_000, 160, 80, 4096, 256
 #: Bytes of context in a spelled word; 0 stands for the word so far (WORD_BYTES bytes of it).
 ORDERS, WORD_BYTES = (3, 5, 0), 16
 #: Rows of hashed class contexts and entries of the table of bytes: two to these powers at most. Places that a table is built in, likewise.
-ROW_BITS, LEAST_BITS, MAX_BITS, PLACE_BITS = 12, 12, 24, 6
-#: Strength of the smoothing, for classes and for bytes.
-STRENGTH = (20.0, 0.6)
+ROW_BITS, LEAST_BITS, MAX_BITS, PLACE_BITS, WORD_PLACE_BITS = 12, 12, 24, 6, 9
+#: Strength of the smoothing, for classes, for bytes and for words.
+STRENGTH = (20.0, 0.6, 8.0)
 #: Decisions of a segment, of those read side by side, and of a step; bytes of a part of a text, symbols whose decisions are made together.
-SEGMENT, TOGETHER, STRIDE, PART, BLOCK = 16_384, 6_000_000, 8, 1 << 20, 8192
+SEGMENT, TOGETHER, STRIDE, PART, BLOCK = 16_384, 4_000_000, 8, 1 << 20, 8192
 #: Weights at the beginning of a segment. Classes: a row for each confidence of the word before (seen less than SEEN[0], SEEN[1] times, more)
 #: times that of the hashed pair; bytes: a row for each number of known contexts, and one for a sure word so far (log odds of SURE or more).
 SEEN = (100, 3000)
 CLASS_GATES = ((0.1, 0.8, 0.1), (0.1, 0.6, 0.3), (0.1, 0.3, 0.6), (0.3, 0.6, 0.1), (0.3, 0.4, 0.3), (0.3, 0.2, 0.5), (0.4, 0.5, 0.1), (0.4, 0.3, 0.3), (0.4, 0.1, 0.5))
 BYTE_GATES = ((1.0, 0.0, 0.0, 0.0), (0.3, 0.8, 0.4, 0.4), (0.1, 0.4, 0.5, 0.3), (0.0, 0.25, 0.45, 0.4), (0.0, 0.1, 0.25, 0.75))
 SURE = 3.0
+#: Words: a row for each number of known contexts.
+WORD_GATES = ((1.0, 0.0, 0.0, 0.0), (0.4, 0.2, 0.2, 0.2), (0.2, 0.2, 0.3, 0.3), (0.0, 0.2, 0.4, 0.4))
 RATE, MAP_RATE = 0.004, 0.02
 STEP = 16.0  # log odds are kept in sixteenths
 END = b"\n"
-LEAF_BITS, CELLS, MERGE, HELD = 18, 33, 16, 6_000_000
+LEAF_BITS, WORD_LEAF_BITS, CELLS, MERGE, HELD = 18, 20, 33, 16, 6_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -142,17 +146,85 @@ class Code:
             yield depth, at, np.cumsum(new) - 1, both - one, one, at[start]
 
 
+    def decisions(self, context: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """By depth: context, node, prior of a one, and counts of zeros and ones of each decision. Rows as for levels."""
+        for depth, _, _, zero, one, first in self.levels(context, leaf, n):
+            at = self.first[leaf[first]] + depth
+            yield context[first], self.nodes[at], self.prior[at], zero, one
+
+
+class Tree:
+    """Binary trees over the words of each class, halved by weight. A node is the first leaf of its right half, 0 is none."""
+
+    def __init__(self, owner: np.ndarray, weight: np.ndarray, classes: int):
+        order = np.lexsort((-weight, owner))
+        self.leaf = np.empty(len(order), np.int32)  # of each item
+        self.leaf[order] = np.arange(len(order))
+        sums = np.concatenate([[0], np.cumsum(weight[order])]).astype(np.int64).tolist()
+        ends = np.searchsorted(owner[order], np.arange(classes + 1)).tolist()
+        left, right, root, depth = [0] * len(order), [0] * len(order), [0] * classes, [0] * len(order)
+        prior = [0.5] * len(order)
+        for k in range(classes):
+            waiting = [(ends[k], ends[k + 1], 0, root, k)] if ends[k + 1] > ends[k] else []
+            while waiting:
+                a, b, deep, into, at = waiting.pop()
+                if b - a == 1:
+                    depth[a] = deep
+                    continue
+                half = (sums[a] + sums[b]) / 2
+                m = min(max(bisect(sums, half, a, b), a + 1), b - 1)
+                if m - 1 > a and half - sums[m - 1] < sums[m] - half:
+                    m -= 1
+                into[at] = m
+                prior[m] = (sums[b] - sums[m] + 0.05) / (sums[b] - sums[a] + 0.1)
+                waiting += [(a, m, deep + 1, left, m), (m, b, deep + 1, right, m)]
+        self.below = np.array([left, right], np.int32)
+        self.root, self.depth = np.array(root, np.int32), np.array(depth, np.int32)
+        self.start = self.root[owner[order]]  # the root above each leaf
+        self.prior = np.array(prior, np.float32)
+        self.odds = quantised(self.prior)
+
+    def path(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and bits of the decisions to leaves, and the number of each leaf's."""
+        size = self.depth[leaf]
+        first = np.cumsum(size) - size
+        node, bit = np.empty(int(size.sum()), np.int32), np.empty(int(size.sum()), np.int8)
+        at = np.flatnonzero(size)
+        leaf, first, now = leaf[at], first[at], self.start[leaf[at]]
+        while len(now):
+            one = leaf >= now
+            node[first], bit[first] = now, one
+            now = self.below[one.view(np.int8), now]
+            going = np.flatnonzero(now)
+            leaf, first, now = leaf[going], first[going] + 1, now[going]
+        return node, bit, size
+
+    def decisions(self, context: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """As of a code."""
+        now = self.start[leaf]
+        while True:
+            at = np.flatnonzero(now)
+            if not len(at):
+                return
+            context, leaf, n, now = context[at], leaf[at], n[at], now[at]
+            start = np.flatnonzero(np.concatenate([[True], (now[1:] != now[:-1]) | (context[1:] != context[:-1])]))
+            bit = leaf >= now
+            both, one = np.add.reduceat(n, start), np.add.reduceat(n * bit, start)
+            yield context[start], now[start].astype(np.uint64), self.prior[now[start]], both - one, one
+            now = self.below[bit.view(np.int8), now]
+
+
 def quantised(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(np.log(p / (1 - p)) * STEP), -127, 127).astype(np.int8)
 
 
-def slots(context: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def slots(context: np.ndarray, node: np.ndarray, bits: int, places: int = PLACE_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Table entry and tag of a decision. A context's decisions lie in one of the table's places."""
     h = (context ^ (node * _A)) * _B
     h ^= h >> np.uint64(32)
     h *= _C
-    inner = np.uint64(bits - PLACE_BITS)
-    return (context >> np.uint64(46 - PLACE_BITS) << inner) + (h >> (np.uint64(64) - inner)), (h & np.uint64(255)).astype(np.uint16)
+    inner = np.uint64(bits - places)
+    return (context >> np.uint64(46 - places) << inner) + (h >> (np.uint64(64) - inner)), (h & np.uint64(255)).astype(np.uint16)
 
 
 class Words:
@@ -184,6 +256,9 @@ class Words:
         self.code = Code(np.maximum(whole, 1).astype(np.int64))
         self.leaf = np.empty(self.classes, np.int64)
         self.leaf[self.code.order] = np.arange(self.classes)
+        # words that are no class of their own, then the escape of each class
+        owner = np.concatenate([self.of[SINGLES:], np.arange(SINGLES, self.classes)])
+        self.tree = Tree(owner, np.concatenate([own[SINGLES:], escaped[SINGLES:].astype(np.int64)]), self.classes)
         self.before = np.where(np.arange(len(names)) < PREVIOUS, np.arange(len(names)), PREVIOUS + self.of)
         self.landmark = np.where(np.arange(len(names)) < LANDMARKS, np.arange(len(names)), -1)
         self.landmark[0] = -1
@@ -207,6 +282,15 @@ class Words:
         return SINGLES + SUFFIXES + (word[-1] >> 4 if word else 0) if found is None else found
 
 
+def word_symbols(code: Words, s: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words lie in a tree, their leaves, and their contexts (n, 3), of 46 bits of which the last two are zero."""
+    at = np.flatnonzero(s.kind >= SINGLES)
+    word, kind = s.word[at], s.kind[at]
+    item = np.where(word >= 0, word - SINGLES, len(code.tree.leaf) - code.classes + kind)
+    rows = s.rows[at] * code.classes + kind[:, None]
+    return at, code.tree.leaf[item], mixed(rows.astype(np.uint64) + _A) >> np.uint64(WORD_LEAF_BITS) << np.uint64(WORD_LEAF_BITS - LEAF_BITS)
+
+
 NOTHING = (-1, LANDMARKS, LANDMARKS)  # contexts at the beginning of a text: no word before, no landmarks
 
 
@@ -292,6 +376,7 @@ class Model:
     table: np.ndarray  # uint16: tag and log odds of decisions of bytes
     tokens: int = 0
     types: int = 0
+    inner: np.ndarray | None = None  # uint16: as table, of decisions of words; without it words have their share of the class
 
     @cached_property
     def weighted(self) -> np.ndarray:
@@ -314,6 +399,27 @@ class Model:
         x[:, 3] = code.bits[path]
         return x, size
 
+    def inside(self, leaf: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each decision within the classes: weighted log odds by model, and the bit; and the number of each word's."""
+        tree, bits, gates = self.words.tree, len(self.inner).bit_length() - 1, np.array(WORD_GATES, np.float32)
+        size = tree.depth[leaf]
+        x = np.empty((int(size.sum()), 5), np.int8)
+        done = 0
+        for a in range(0, len(leaf), BLOCK):
+            node, bit, n = tree.path(leaf[a : a + BLOCK])
+            slot, tag = slots(np.repeat(contexts[a : a + BLOCK], n, axis=0), node.astype(np.uint64)[:, None], bits, WORD_PLACE_BITS)
+            entry = self.inner[slot]
+            low = (entry & np.uint16(255)).astype(np.int16)
+            known = ((entry >> np.uint16(8)) == tag) & (low != 0)
+            own = np.empty((len(node), 4), np.float32)
+            own[:, 0] = tree.odds[node]
+            own[:, 1:] = np.where(known, low - 128, own[:, :1])
+            rows = x[done : done + len(node)]
+            rows[:, :4] = np.clip(np.rint(own * gates[known.sum(1)]), -127, 127)
+            rows[:, 4] = bit
+            done += len(node)
+        return x, size
+
     def spelled(self, leaf: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         """A row for each decision of the bytes: weighted log odds by model, and the bit."""
         code, bits, gates = self.words.bytes, len(self.table).bit_length() - 1, np.array(BYTE_GATES, np.float32)
@@ -425,10 +531,12 @@ def score_texts(texts: list[str | None], model: Model) -> dict[str, list]:
     """Columns of the texts: tokens, bytes, score and, as far as words are heavy, known and base; the rare words."""
     out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "base", "score", "n_bytes", "rare")}
     floor = float(np.log10(model.tokens + model.types + 1))
-    held: tuple[list, list] = ([], [])  # of classes and of bytes: decisions, and the text of each segment with its size
+    held: tuple[list, ...] = ([], [], [])  # of classes, of bytes and of words: decisions, and the text of each segment with its size
     waiting: list[tuple[int, list[bytes], tuple[int, int, int]]] = []
 
     def hold(which: int, x: np.ndarray, owner: np.ndarray, size: np.ndarray) -> None:
+        if not len(x):
+            return
         at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))  # texts follow one another
         n = np.add.reduceat(size, at)
         segments = [(k, min(SEGMENT, m - a)) for k, m in zip(owner[at].tolist(), n.tolist()) for a in range(0, m, SEGMENT)]
@@ -449,7 +557,13 @@ def score_texts(texts: list[str | None], model: Model) -> dict[str, list]:
             leaf, contexts, sizes = byte_contexts(model.words, s.rare, s.kind[rare])
             n = np.add.reduceat(model.words.bytes.lengths[leaf], np.cumsum(sizes) - sizes)
             hold(1, model.spelled(leaf, contexts), text[rare], n)
-        inside = np.where(heavy, model.words.share[s.word], model.words.escape[s.kind])
+        if model.inner is None:
+            inside = np.where(heavy, model.words.share[s.word], model.words.escape[s.kind])
+        else:
+            at, leaf, contexts = word_symbols(model.words, s)
+            x, n = model.inside(leaf, contexts)
+            hold(2, x, text[at], n)
+            inside = np.zeros(len(part))
         log = np.where(heavy, model.words.log[s.word], 0)
         sums = [np.bincount(part, v, len(parts)).tolist() for v in (inside, log > 0, log)]
         for (k, _, _), share, n, log in zip(waiting, *sums):
@@ -528,10 +642,10 @@ class Pairs:
         self.size = len(self.held[0][0])
         return self.held[0]
 
-    def blocks(self, first: int, group: int) -> Iterator[pa.RecordBatch]:
+    def blocks(self, first: int, group: int, places: int = PLACE_BITS) -> Iterator[pa.RecordBatch]:
         """The pairs by place, from the number first on, and forget them."""
         keys, n = self.compact()
-        place = (keys >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+        place = (keys >> np.uint64(64 - places)).astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(keys) else []
         for a, b in zip(start, [*start[1:], len(keys)]):
             yield block(first + int(place[a]), group, keys[a:b], n[a:b])
@@ -560,23 +674,20 @@ def unblocked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint64), np.ascontiguousarray(np.frombuffer(own, np.uint8, 4 * n, 8 * n).reshape(4, n).T).view("<f4").ravel()
 
 
-def place_table(keys: np.ndarray, n: np.ndarray, code: Code, strength: float, bits: int) -> np.ndarray:
+def place_table(keys: np.ndarray, n: np.ndarray, code: Code | Tree, strength: float, bits: int, places: int = PLACE_BITS, leaf_bits: int = LEAF_BITS) -> np.ndarray:
     """A place's part of a table, from its sorted pairs. Of decisions that meet in an entry the most frequent stays."""
-    inner = 1 << (bits - PLACE_BITS)
+    inner = 1 << (bits - places)
     best, out = np.zeros(inner, np.float32), np.zeros(inner, np.uint16)
-    context, leaf = keys >> np.uint64(LEAF_BITS), (keys & np.uint64((1 << LEAF_BITS) - 1)).astype(np.int64)
+    context, leaf = keys >> np.uint64(leaf_bits) << np.uint64(leaf_bits - LEAF_BITS), (keys & np.uint64((1 << leaf_bits) - 1)).astype(np.int64)
     begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.empty(0, np.int64)
     cuts = [0]  # whole contexts together, up to a million pairs
     for b in [*begin[1:].tolist(), len(keys)]:
         if b - cuts[-1] > 1_000_000 or b == len(keys):
             cuts.append(b)
     for a, b in zip(cuts, cuts[1:]):
-        c, own = context[a:b], leaf[a:b]
-        for depth, _, _, zero, one, first in code.levels(c, own, n[a:b].astype(np.float64)):
-            node = code.nodes[code.first[own[first]] + depth]
-            slot, tag = slots(c[first], node, bits)
+        for c, node, prior, zero, one in code.decisions(context[a:b], leaf[a:b], n[a:b].astype(np.float64)):
+            slot, tag = slots(c, node, bits, places)
             slot &= np.uint64(inner - 1)
-            prior = code.prior[code.first[own[first]] + depth]
             odds = quantised((one + strength * prior) / (zero + one + strength)).astype(np.int16)
             both = (zero + one).astype(np.float32)
             better = np.flatnonzero(both > best[slot])
@@ -634,12 +745,14 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 ROWS_PLACE = 256  # rows of class contexts to a place
 
 
-def _tables(texts: DataFrame, counts: DataFrame, words: Words, types: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of class contexts, their confidence, and the table of bytes: pairs counted in tasks, merged for each place by MERGE tasks at
-    once and then whole. Places of bytes come first, then those of rows."""
+def _tables(texts: DataFrame, counts: DataFrame, words: Words, tokens: int, types: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of class contexts, their confidence, and the tables of bytes and of words: pairs counted in tasks, merged for each place by MERGE
+    tasks at once and then whole. Places of bytes come first, then those of rows, then those of words."""
     spark = texts.sparkSession
     bits = max(LEAST_BITS, min(MAX_BITS, int(np.ceil(np.log2(max(2, 64 * types))))))
+    word_bits = max(LEAST_BITS, min(MAX_BITS, int(np.ceil(np.log2(max(2, 64 * tokens))))))
     rows, places = int(words.firsts[-1]), 1 << PLACE_BITS
+    last_row = places + -(-rows // ROWS_PLACE)
     shared = spark.sparkContext.broadcast(words)
 
     def group() -> int:
@@ -649,7 +762,7 @@ def _tables(texts: DataFrame, counts: DataFrame, words: Words, types: int) -> tu
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value
-        seen = np.zeros(rows * code.classes, np.float32)
+        seen, inner = np.zeros(rows * code.classes, np.float32), Pairs()
 
         def add(waiting: list) -> tuple[int, int, int]:
             s = symbols(code, [p for p, _ in waiting], [s for _, s in waiting]) if waiting else None
@@ -657,6 +770,9 @@ def _tables(texts: DataFrame, counts: DataFrame, words: Words, types: int) -> tu
             if s is None:
                 return NOTHING
             np.add.at(seen, (s.rows * code.classes + code.leaf[s.kind][:, None]).ravel(), np.float32(1))
+            _, leaf, contexts = word_symbols(code, s)
+            keys = (contexts << np.uint64(LEAF_BITS) | leaf.astype(np.uint64)[:, None]).T.ravel()
+            inner.add(keys, np.ones(len(keys), np.float32))
             return s.after
 
         for batch in batches:
@@ -670,6 +786,9 @@ def _tables(texts: DataFrame, counts: DataFrame, words: Words, types: int) -> tu
                         if own[-1:] != [END] or size >= PART:
                             state, size = add(waiting), 0
                 add(waiting)
+                if inner.size > HELD // 2:
+                    yield from inner.blocks(last_row, group(), WORD_PLACE_BITS)
+        yield from inner.blocks(last_row, group(), WORD_PLACE_BITS)
         for p in range(0, rows, ROWS_PLACE):
             own = seen[p * code.classes : (p + ROWS_PLACE) * code.classes]
             at = np.flatnonzero(own)
@@ -712,6 +831,8 @@ def _tables(texts: DataFrame, counts: DataFrame, words: Words, types: int) -> tu
                     return
                 if place < places:
                     data = place_table(keys, n, code.bytes, STRENGTH[1], bits).astype("<u2").tobytes()
+                elif place >= last_row:
+                    data = place_table(keys, n, code.tree, STRENGTH[2], word_bits, WORD_PLACE_BITS, WORD_LEAF_BITS).astype("<u2").tobytes()
                 else:
                     first = (place - places) * ROWS_PLACE
                     odds, seen = class_rows(keys, n, code, first, min(rows, first + ROWS_PLACE))
@@ -733,20 +854,23 @@ def _tables(texts: DataFrame, counts: DataFrame, words: Words, types: int) -> tu
     both = texts.mapInArrow(follow, KIND).unionByName(counts.mapInArrow(spell, KIND))
     first = both.repartition("place", "part").sortWithinPartitions("place", "part").mapInArrow(merged(False), KIND)
     done = first.repartition("place").sortWithinPartitions("place").mapInArrow(merged(True), KIND)
-    odds, seen, table = np.tile(words.code.odds, (rows, 1)), np.zeros(rows, np.uint8), np.zeros(1 << bits, np.uint16)
+    odds, seen, table, inner = np.tile(words.code.odds, (rows, 1)), np.zeros(rows, np.uint8), np.zeros(1 << bits, np.uint16), np.zeros(1 << word_bits, np.uint16)
     made = done.select("place", "data").toArrow()  # the tables' bounded size at most, compressed
     for place, data in zip(made.column("place").to_pylist(), made.column("data")):
         own = zstandard.decompress(data.as_py())
         if place < places:
             part = np.frombuffer(own, "<u2")
             table[place * len(part) : (place + 1) * len(part)] = part
+        elif place >= last_row:
+            part = np.frombuffer(own, "<u2")
+            inner[(place - last_row) * len(part) : (place - last_row + 1) * len(part)] = part
         else:
             at = (place - places) * ROWS_PLACE
             n = min(rows, at + ROWS_PLACE) - at
             odds[at : at + n] = np.frombuffer(own, np.int8, n * odds.shape[1]).reshape(n, -1)
             seen[at : at + n] = np.frombuffer(own, np.uint8, n, n * odds.shape[1])
-    shared.unpersist()
-    return odds.ravel(), seen, table
+    shared.destroy()
+    return odds.ravel(), seen, table, inner
 
 
 def _heavy(counts: DataFrame) -> DataFrame:
@@ -772,7 +896,8 @@ def learn(rows: DataFrame) -> tuple[Model, DataFrame]:
     suffixes = {bytes(r["x"]): (r["n"], r["once"]) for r in ends.collect()}  # two bytes, so 2^16 at most
     words = Words(top, suffixes, size["n"])
     del top
-    return Model(words, *_tables(rows, counts, words, size["v"]), size["n"], size["v"]), counts
+    odds, seen, table, inner = _tables(rows, counts, words, size["n"], size["v"])
+    return Model(words, odds, seen, table, size["n"], size["v"], inner), counts
 
 
 def lm_score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -794,6 +919,7 @@ def lm_score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", *kinds])
 
     scored = shared_table(rows.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text").mapInArrow(run, out))
+    shared.destroy()  # scored is written, and its disk is free for the join
     rare = scored.select("rid", F.explode("rare").alias("word"))
     met = rare.join(counts.hint("merge"), "word").groupBy("rid").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count("*").alias("also"))
     return scored.drop("rare").join(met, "rid", "left").select(

@@ -661,3 +661,85 @@ def test_samples_of_hot_groups(spark):
     hashes = {r["id"]: r["h"] for r in df.select("id", F.xxhash64(F.col("id").cast("string")).alias("h")).distinct().collect()}
     want = {("hot", k) for k in sorted(range(5000), key=lambda k: (hashes[k], k))[:40]} | {("small", k) for k in range(3)} | {("one", 1)}
     assert got == want
+
+
+def test_lm_words_of_a_class_follow_their_contexts(spark):
+    """What word of a class comes depends on the word before it."""
+    few = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}th" for k in range(40)]
+    texts = [" ".join([*(f"z{(12 * k + j) % 170}" for j in range(12)), "aa" if k % 2 else "bb", few[k % 40]]) for k in range(4000)]
+    model, _ = lm.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    words = [w for w in few if model.words.of[model.words.word[w.encode()]] >= lm.SINGLES]
+    assert len(words) > 20
+    for w in words[:20]:
+        right, wrong = ("aa", "bb") if few.index(w) % 2 else ("bb", "aa")
+        a, b, c, d = lm.score_texts([f"{right} {w}", f"{wrong} {w}", right, wrong], model)["score"]
+        assert (a - c) - (b - d) > 0.2
+
+
+def test_lm_words_within_classes_are_their_plain_version(spark):
+    """Trees that reach every word, probabilities that add up to one, and odds from counts in dictionaries."""
+    rnd = random.Random(8)
+    stems = ["".join(rnd.choice("abcdef") for _ in range(rnd.randint(2, 4))) for _ in range(500)]
+    texts = [" ".join(rnd.choices(stems[: rnd.choice((200, 500))], k=rnd.randint(0, 40))) for _ in range(800)]
+    model, _ = lm.learn(spark.createDataFrame([(t,) for t in texts], "text string").repartition(7))
+    words, tree = model.words, model.words.tree
+
+    def leaf_of(w):
+        k = words.word.get(w)
+        return int(tree.leaf[k - lm.SINGLES if k is not None else len(tree.leaf) - words.classes + words.class_of(w)])
+
+    def path(leaf):
+        out, now = [], int(tree.start[leaf])
+        while now:
+            out.append((now, int(leaf >= now)))
+            now = int(tree.below[int(leaf >= now), now])
+        return out
+
+    def inside(text):
+        """(leaf, contexts) of each word that is in a tree."""
+        out = []
+        s = lm.symbols(words, [[*lm.word_bytes(text), lm.END]], [lm.NOTHING])
+        for w, kind, rows in zip([*lm.word_bytes(text), lm.END], s.kind.tolist(), s.rows.tolist()):
+            if kind >= lm.SINGLES:
+                out.append((leaf_of(w), [(r, kind) for r in rows]))
+        return out
+
+    counts = collections.defaultdict(lambda: [0, 0])
+    for t in texts:
+        for leaf, contexts in inside(t):
+            for node, bit in path(leaf):
+                for c in contexts:
+                    counts[c, node][bit] += 1
+    step = lambda p: max(-127, min(127, round(math.log(p / (1 - p)) * lm.STEP)))
+    same = whole = 0
+    for t in [*texts[:40], "zzz " + texts[50] + " qqabcabc", ""]:
+        s = lm.symbols(words, [[*lm.word_bytes(t), lm.END]], [lm.NOTHING])
+        _, leaf, contexts = lm.word_symbols(words, s)
+        got, want = model.inside(leaf, contexts)[0].tolist(), []
+        for leaf, contexts in inside(t):
+            for node, bit in path(leaf):
+                prior = float(tree.prior[node])
+                own, known = [step(prior)], 0
+                for c in contexts:
+                    zero, one = counts[c, node]
+                    known += zero + one > 0
+                    own.append(step((one + lm.STRENGTH[2] * prior) / (zero + one + lm.STRENGTH[2])))
+                want.append([*(max(-127, min(127, round(o * g))) for o, g in zip(own, lm.WORD_GATES[known])), bit])
+        assert len(got) == len(want) and [r[-1] for r in got] == [r[-1] for r in want]
+        same += sum(max(abs(a - b) for a, b in zip(x, y)) <= 1 for x, y in zip(got, want))
+        whole += len(want)
+    assert same > 0.99 * whole > 0  # of decisions that meet in an entry one stays
+    kind = int(np.bincount(words.of[lm.SINGLES :]).argmax())
+    leaves = np.flatnonzero(np.isin(np.arange(len(tree.leaf)), tree.leaf[np.concatenate([np.flatnonzero(words.of[lm.SINGLES :] == kind), [len(tree.leaf) - words.classes + kind]])]))
+    total = 0.0
+    for leaf in leaves:
+        x, n = model.inside(np.array([leaf]), np.zeros((1, 3), np.uint64))
+        total += math.exp(lm.mix(x, n)[0])
+    assert len(leaves) > 3 and total == pytest.approx(1, abs=0.1)
+
+
+def test_lm_white_space_of_more_than_a_part(spark, monkeypatch):
+    model, _ = lm.learn(spark.createDataFrame([("a b",)], "text string"))
+    want = lm.score_texts(["a"], model)["score"]
+    monkeypatch.setattr(lm, "PART", 100)
+    assert lm.score_texts([" " * 1000 + "a"], model)["score"] == pytest.approx(want, rel=0.01)  # the end may be a segment of its own
