@@ -95,7 +95,20 @@ def code_lengths(weights: np.ndarray) -> np.ndarray:
     return depth[: len(weights)]
 
 
-class Code:
+class Packed:
+    """Pickled with its large arrays compressed, since a broadcast lies on several disks."""
+
+    def __getstate__(self) -> dict:
+        large = lambda v: isinstance(v, np.ndarray) and v.nbytes > 1 << 16
+        return {k: (v.dtype.str, v.shape, zstandard.ZstdCompressor(level=1).compress(v.tobytes())) if large(v) else v for k, v in self.__dict__.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        for k, v in state.items():
+            packed = isinstance(v, tuple) and len(v) == 3 and isinstance(v[2], bytes)
+            self.__dict__[k] = np.frombuffer(zstandard.decompress(v[2]), v[0]).reshape(v[1]) if packed else v
+
+
+class Code(Packed):
     """A canonical prefix code, or one for each row of weights. Leaves are in order of their codes; order[leaf] is the symbol."""
 
     def __init__(self, weights: np.ndarray):
@@ -153,7 +166,7 @@ class Code:
             yield context[first], self.nodes[at], self.prior[at], zero, one
 
 
-class Tree:
+class Tree(Packed):
     """Binary trees over the words of each class, halved by weight. A node is the first leaf of its right half, 0 is none."""
 
     def __init__(self, owner: np.ndarray, weight: np.ndarray, classes: int):
@@ -227,7 +240,7 @@ def slots(context: np.ndarray, node: np.ndarray, bits: int, places: int = PLACE_
     return (context >> np.uint64(46 - places) << inner) + (h >> (np.uint64(64) - inner)), (h & np.uint64(255)).astype(np.uint16)
 
 
-class Words:
+class Words(Packed):
     """Classes, codes and contexts. counts: of the heavy words; suffixes: (tokens, words seen once) of all words by their last two bytes."""
 
     def __init__(self, counts: dict[bytes, int], suffixes: dict[bytes, tuple[int, int]], tokens: int):
@@ -369,7 +382,7 @@ def byte_contexts(code: Words, words: list[bytes], kinds: np.ndarray) -> tuple[n
 
 
 @dataclass
-class Model:
+class Model(Packed):
     words: Words
     rows: np.ndarray  # int8: log odds of each row of class contexts, by class and depth
     seen: np.ndarray  # uint8: confidence of each row
@@ -869,7 +882,7 @@ def _tables(texts: DataFrame, counts: DataFrame, words: Words, tokens: int, type
             n = min(rows, at + ROWS_PLACE) - at
             odds[at : at + n] = np.frombuffer(own, np.int8, n * odds.shape[1]).reshape(n, -1)
             seen[at : at + n] = np.frombuffer(own, np.uint8, n, n * odds.shape[1])
-    shared.destroy()
+    shared.destroy(blocking=True)
     return odds.ravel(), seen, table, inner
 
 
