@@ -743,3 +743,16 @@ def test_lm_white_space_of_more_than_a_part(spark, monkeypatch):
     want = lm.score_texts(["a"], model)["score"]
     monkeypatch.setattr(lm, "PART", 100)
     assert lm.score_texts([" " * 1000 + "a"], model)["score"] == pytest.approx(want, rel=0.01)  # the end may be a segment of its own
+
+
+def test_lm_reads_all_kinds_of_decisions_side_by_side(spark, monkeypatch):
+    """Classes, words and bytes are mixed in one call, and a model that says nothing changes nothing."""
+    rnd = np.random.default_rng(1)
+    x, sizes = rnd.integers(-127, 128, (5000, 5)).astype(np.int8), np.array([2990, 1, 2009])
+    x[:, 3], x[:, 4] = 0, rnd.integers(0, 2, 5000)
+    assert lm.mix(x, sizes) == pytest.approx(lm.mix(x[:, [0, 1, 2, 4]], sizes), rel=1e-6)
+    model, _ = lm.learn(spark.createDataFrame([("a b a c a b ab cab abb ba bab",)] * 9 + [("b a xy",)], "text string"))
+    calls, mix = [], lm.mix
+    monkeypatch.setattr(lm, "mix", lambda *a: calls.append(1) or mix(*a))
+    lm.score_texts(["a b xyz", None, "cab"], model)
+    assert len(calls) == 1
