@@ -39,6 +39,8 @@ LEAST_GRAMS = 4
 #: Code points of a short passage and from one's beginning to the next; the least verbatim run of an item that is always found.
 SHORT, STRIDE = 64, 16
 RUN = SHORT + STRIDE - 1
+#: Most counters of diagonals by passage, before the diagonals are sorted.
+STRIPS = 256
 _MULT, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x9E3779B1)
 
 
@@ -200,15 +202,30 @@ class Index:
     def _regions(self, points: np.ndarray, near: np.ndarray, slot: np.ndarray) -> list[tuple[int, int, int, int]]:
         passages, _, _, first, times, owner, place, _, edits, need = self.built
         n = times[slot]
-        take = np.repeat(first[slot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        passage, diagonal = owner[take], np.repeat(near, n) - place[take]
-        position = place[take]
-        # each diagonal lies in two overlapping bands
-        step = edits[passage] + 1
-        band = np.floor_divide(diagonal, step)
-        who = np.concatenate([passage, passage])
-        bands = np.concatenate([band, band - 1])
-        at = np.concatenate([position, position])
+        take = np.repeat(first[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        passage = owner[take]
+        # a passage with fewer shared q-grams in the whole text than a band of it needs has no such band
+        enough = np.bincount(passage, minlength=len(need)) >= need
+        able = np.flatnonzero(enough[passage])
+        if not len(able):
+            return []
+        passage, position = passage[able], place[take[able]]
+        diagonal = np.repeat(near, n)[able] - position
+        # each diagonal lies in two overlapping bands, its own strip of diagonals with the next one and with the one before
+        band = np.floor_divide(diagonal, edits[passage] + 1)
+        # likewise for two strips, counted by the remainders of their numbers: those that agree in them are counted together
+        some = int(enough.sum())
+        strips = max(2, min(STRIPS, (1 << 20) // some))
+        first_of = (np.cumsum(enough) - 1)[passage] * strips
+        own, before = first_of + band % strips, first_of + (band - 1) % strips
+        counts = np.bincount(own, minlength=some * strips).reshape(-1, strips)
+        reach = (counts + np.roll(counts, -1, 1) >= need[enough][:, None]).ravel()
+        upper, lower = reach[own], reach[before]
+        who = np.concatenate([passage[upper], passage[lower]])
+        if not len(who):
+            return []
+        bands = np.concatenate([band[upper], band[lower] - 1])
+        at = np.concatenate([position[upper], position[lower]])
         order = np.lexsort((at, bands, who))
         who, bands, at = who[order], bands[order], at[order]
         new = np.concatenate([[True], (who[1:] != who[:-1]) | (bands[1:] != bands[:-1])])

@@ -756,3 +756,17 @@ def test_lm_reads_all_kinds_of_decisions_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(lm, "mix", lambda *a: calls.append(1) or mix(*a))
     lm.score_texts(["a b xyz", None, "cab"], model)
     assert len(calls) == 1
+
+
+def test_decontamination_sorts_only_what_can_reach_a_count(monkeypatch):
+    """Common phrases make no sort; with few counters for diagonals the finds are the same."""
+    rnd = random.Random(5)
+    word = lambda n: decontaminate.folded("".join(rnd.choice("abcdefghijkl mnopqrstu") for _ in range(n)))
+    index = decontaminate.Index([(k, f"{word(80)} in the course {word(80)}") for k in range(5)])
+    texts = [decontaminate.folded(f"{word(60)} {item[:90]} {word(400)} {item[20:]} {word(20)}") for _, item in index.items]
+    found = [index.search(t) for t in texts]
+    assert all(k in {f[0] for f in got} for k, got in enumerate(found))
+    monkeypatch.setattr(decontaminate, "STRIPS", 2)
+    assert [index.search(t) for t in texts] == found
+    monkeypatch.setattr(decontaminate.np, "lexsort", None)
+    assert index.search(decontaminate.folded(f"{word(300)} in the course {word(300)}")) == []
