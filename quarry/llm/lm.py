@@ -36,7 +36,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +56,7 @@ ROW_BITS, LEAST_BITS, MAX_BITS, PLACE_BITS, WORD_PLACE_BITS = 12, 12, 24, 6, 9
 #: Strength of the smoothing, for classes, for bytes and for words.
 STRENGTH = (20.0, 0.6, 8.0)
 #: Decisions of a segment, of those read side by side, and of a step; bytes of a part of a text, symbols whose decisions are made together.
-SEGMENT, TOGETHER, STRIDE, PART, BLOCK = 16_384, 4_000_000, 8, 1 << 20, 2048
+SEGMENT, TOGETHER, STRIDE, PART, BLOCK = 16_384, 6_000_000, 8, 1 << 20, 2048
 #: Weights at the beginning of a segment. Classes: a row for each confidence of the word before (seen less than SEEN[0], SEEN[1] times, more)
 #: times that of the hashed pair; bytes: a row for each number of known contexts, and one for a sure word so far (log odds of SURE or more).
 SEEN = (100, 3000)
@@ -69,8 +68,11 @@ WORD_GATES = ((1.0, 0.0, 0.0, 0.0), (0.4, 0.2, 0.2, 0.2), (0.2, 0.2, 0.3, 0.3),
 RATE, MAP_RATE = 0.004, 0.02
 STEP = 16.0  # log odds are kept in sixteenths
 END = b"\n"
+#: What END is in joined words (no byte of UTF-8 and no white space); bytes of a word that are compared as numbers; bits of a word's number.
+MARK, WIDE, NUMBER_BITS = b"\xff", 15, 20
 LEAF_BITS, WORD_LEAF_BITS, CELLS, MERGE, HELD = 18, 20, 33, 16, 6_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+_D, _E = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -231,13 +233,130 @@ def quantised(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(np.log(p / (1 - p)) * STEP), -127, 127).astype(np.int8)
 
 
+def short(context: np.ndarray) -> np.ndarray:
+    """Contexts of 46 bits folded to 32."""
+    return (context ^ context >> np.uint64(23)).astype(np.uint32)
+
+
+def scattered(node: np.ndarray) -> np.ndarray:
+    """Nodes as they are hashed, 32 bits."""
+    return (node.astype(np.uint64) * _A >> np.uint64(32)).astype(np.uint32)
+
+
 def slots(context: np.ndarray, node: np.ndarray, bits: int, places: int = PLACE_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Table entry and tag of a decision. A context's decisions lie in one of the table's places."""
-    h = (context ^ (node * _A)) * _B
-    h ^= h >> np.uint64(32)
-    h *= _C
-    inner = np.uint64(bits - places)
-    return (context >> np.uint64(46 - places) << inner) + (h >> (np.uint64(64) - inner)), (h & np.uint64(255)).astype(np.uint16)
+    h = hashed(short(context), scattered(node))
+    inner = bits - places
+    return (context >> np.uint64(46 - places) << np.uint64(inner)) + (h >> np.uint32(32 - inner)), (h >> np.uint32(24 - inner)).astype(np.uint8).astype(np.uint16)
+
+
+def hashed(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Numbers of 32 bits alone, which are multiplied several at once; in place of the context."""
+    context ^= node
+    context *= _D
+    context ^= context >> np.uint32(15)
+    context *= _E
+    context ^= context >> np.uint32(16)
+    context *= _D
+    return context
+
+
+@dataclass
+class Cut:
+    """The words of joined parts by their places. tokens: of each part; longer words may be in pieces, and whole in long with their part."""
+
+    data: bytes
+    start: np.ndarray
+    size: np.ndarray
+    count: np.ndarray
+    tokens: np.ndarray
+    piece: np.ndarray
+    long: list[tuple[int, bytes]]
+
+    def words(self, at: np.ndarray) -> list[bytes]:
+        start = self.start[at]
+        return [self.data[a:b] for a, b in zip(start.tolist(), (start + self.size[at]).tolist())]
+
+
+def cut(parts: list[bytes], most: int = 0) -> Cut:
+    """most: bytes of a piece, if words are to be in pieces."""
+    data = b" ".join([b"", *parts, bytes(32)])  # words are read up to 24 bytes on
+    own = np.frombuffer(data, np.uint8)[:-32]
+    space = own - np.uint8(9) < 5
+    space |= own == 32
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    count = tokens = np.diff(np.searchsorted(start, ends), prepend=0)
+    piece, long = np.zeros(len(start), bool), []
+    if most and len(size) and size.max() > most:
+        part, n = np.repeat(np.arange(len(parts)), count), -(-size // most)
+        long = [(int(part[k]), data[start[k] : start[k] + size[k]]) for k in np.flatnonzero(n > 1)]
+        count = np.bincount(part, n, len(parts)).astype(np.int64)
+        before = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * most
+        start, size, piece = np.repeat(start, n) + before, np.minimum(np.repeat(size, n) - before, most), np.repeat(n > 1, n)
+    return Cut(data, start, size, count, tokens, piece, long)
+
+
+class Lexicon(Packed):
+    """Numbers of words, found side by side. Words of up to WIDE bytes are in a hash table with linear probing, whose entries hold the
+    top of a hash and the number; what is found is compared whole. Longer words, and those whose hash another has, are in a dictionary."""
+
+    def __init__(self, names: list[bytes]):
+        found = cut([b" ".join([MARK if w == END else w for w in names])])
+        self.keys, h = self.keyed(found)
+        bits = max(4, (2 * len(names)).bit_length())
+        self.table = np.full(1 << bits, self.empty, np.uint64)
+        own = np.flatnonzero(found.size <= WIDE)
+        own = np.sort(own[np.unique(h[own] >> self.low, return_index=True)[1]])  # the more frequent first
+        apart = np.ones(len(names), bool)
+        apart[own] = False
+        self.others = {names[k]: k for k in np.flatnonzero(apart).tolist()}
+        slot = (h[own] & np.uint64(len(self.table) - 1)).astype(np.int64)
+        while len(own):
+            free = np.flatnonzero(self.table[slot] == self.empty)
+            into, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.table[into] = h[own[put]] >> self.low << self.low | own[put].astype(np.uint64)
+            left = np.ones(len(own), bool)
+            left[put] = False
+            own, slot = own[left], slot[left] + 1 & len(self.table) - 1
+
+    low, empty = np.uint64(NUMBER_BITS), np.uint64((1 << NUMBER_BITS) - 1)
+    kept = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+    @classmethod
+    def keyed(cls, words: Cut) -> tuple[np.ndarray, np.ndarray]:
+        """Words as pairs of numbers, of their first WIDE bytes and their size, and their hashes."""
+        every, at = np.frombuffer(words.data, "<u8", len(words.data) // 8), words.start >> 3
+        right = ((words.start & 7) << 3).view(np.uint64)
+        left = np.uint64(64) - right  # a shift by 64 gives zero
+        one, two, three = (every.take(at + k) for k in range(3))
+        keys = np.empty((len(at), 2), np.uint64)
+        head, tail = one >> right | two << left, two >> right | three << left
+        keys[:, 0] = head & cls.kept.take(words.size, mode="clip")
+        keys[:, 1] = tail & cls.kept.take(np.clip(words.size - 8, 0, 7)) | np.minimum(words.size, WIDE + 1).astype(np.uint64) << np.uint64(56)
+        return keys, mixed(keys[:, 0] ^ keys[:, 1] * _A)
+
+    def find(self, words: Cut) -> np.ndarray:
+        """The number of each word, or -1."""
+        keys, h = self.keyed(words)
+        out = np.full(len(h), -1, np.int64)
+        at, slot = np.arange(len(h)), (h & np.uint64(len(self.table) - 1)).view(np.int64)
+        h >>= self.low
+        h <<= self.low
+        while len(at):
+            entry = self.table.take(slot, mode="clip")
+            number = entry ^ h
+            hit = number < self.empty
+            out[at[hit]] = number[hit]
+            going = np.flatnonzero(~hit & (entry != self.empty))
+            at, h, slot = at[going], h[going], slot[going] + 1 & len(self.table) - 1
+        own = self.keys.take(out, axis=0, mode="wrap")
+        own ^= keys
+        wrong = np.flatnonzero((out >= 0) & ((own[:, 0] | own[:, 1]) != 0) | (words.size > WIDE))
+        out[wrong] = [self.others.get(w, -1) for w in words.words(wrong)]
+        return out
 
 
 class Words(Packed):
@@ -247,6 +366,7 @@ class Words(Packed):
         names = sorted({*counts, END}, key=lambda w: (w != END, -counts.get(w, 0), w))  # the end, then by frequency
         own = np.array([counts.get(w, 0) for w in names], np.int64)
         self.word = {w: k for k, w in enumerate(names)}
+        self.lexicon = Lexicon(names)
         self.log = np.log10(own + 1.0)
         left = {x: n for x, (n, _) in suffixes.items()}
         for w, n in counts.items():
@@ -290,6 +410,9 @@ class Words(Packed):
             own, start = np.unique(node, return_index=True)
             self.below.append((own, np.stack([at[start], at[np.append(start[1:], len(at)) - 1] + 1], 1)))
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in super().__getstate__().items() if k != "word"}  # tasks look words up side by side
+
     def class_of(self, word: bytes) -> int:
         found = self.suffix.get(word[-2:])
         return SINGLES + SUFFIXES + (word[-1] >> 4 if word else 0) if found is None else found
@@ -318,13 +441,14 @@ class Symbols:
     after: tuple[int, int, int]
 
 
-def symbols(code: Words, parts: list[list[bytes]], states: list[tuple[int, int, int]]) -> Symbols:
+def symbols(code: Words, parts: Cut | list[list[bytes]], states: list[tuple[int, int, int]]) -> Symbols:
     """states: before each part; a part's first words see what came before in their text alone."""
-    sizes = np.array([len(p) for p in parts], np.int64)
-    words = [w for p in parts for w in p]
-    word = np.fromiter(map(code.word.get, words, repeat(-1)), np.int64, len(words))
+    words = parts if isinstance(parts, Cut) else cut([b" ".join([MARK if w == END else w for w in p]) for p in parts])
+    sizes = words.count
+    word = code.lexicon.find(words)
+    word[words.piece] = -1  # the whole word is what was counted
     unknown = np.flatnonzero(word < 0)
-    rare = [words[k] for k in unknown.tolist()]
+    rare = words.words(unknown)
     kind, before, mark = code.of[word], code.before[word], code.landmark[word]
     if rare:
         kind[unknown] = [code.class_of(w) for w in rare]
@@ -333,20 +457,20 @@ def symbols(code: Words, parts: list[list[bytes]], states: list[tuple[int, int,
     state = np.array(states, np.int64)
     filled = np.flatnonzero(sizes)
     begin = (np.cumsum(sizes) - sizes)[filled]
-    shifted = np.empty(len(words), np.int64)
+    shifted = np.empty(len(word), np.int64)
     shifted[1:] = before[:-1]
     shifted[begin] = np.where(state[filled, 0] < 0, PREVIOUS + code.classes, state[filled, 0])
     is_mark = mark >= 0
     so_far = np.cumsum(is_mark) - is_mark  # landmarks before each word
     own = so_far - np.repeat(so_far[begin], sizes[filled])  # within the part
     seen = np.concatenate([[0, 0], mark[is_mark]])  # two ahead, so that no index is negative
-    part = np.repeat(np.arange(len(parts)), sizes)
+    part = np.repeat(np.arange(len(sizes)), sizes)
     last = np.where(own >= 1, seen[so_far + 1], state[part, 1])
     other = np.where(own >= 2, seen[so_far], np.where(own == 1, state[part, 1], state[part, 2]))
     pair = mixed((last * 1000 + other + 1).astype(np.uint64)) >> np.uint64(20)
     rows = np.stack([shifted, code.firsts[1] + last, code.firsts[2] + (pair % np.uint64(code.rows)).astype(np.int64)], 1)
-    after = states[-1] if parts else NOTHING
-    if parts and len(parts[-1]):
+    after = states[-1] if states else NOTHING
+    if len(sizes) and sizes[-1]:
         after = (int(before[-1]), *((int(mark[-1]), int(last[-1])) if is_mark[-1] else (int(last[-1]), int(other[-1]))))
     return Symbols(word, kind, rows, rare, after)
 
@@ -414,9 +538,11 @@ class Model(Packed):
             gate = np.repeat(gates[a : a + BLOCK], n)
             rows = x[:, done : done + total]
             for k, own in enumerate(self.weighted[0]):
-                odds = self.rows[np.repeat(firsts[k, a : a + BLOCK], n) + path]
-                rows[k] = own[gate | odds.view(np.uint8)]
-            rows[3] = code.bits[path]
+                at = np.repeat(firsts[k, a : a + BLOCK], n)
+                at += path
+                odds = self.rows.take(at, mode="clip")
+                rows[k] = own.take(gate | odds.view(np.uint8), mode="clip")
+            rows[3] = code.bits.take(path, mode="clip")
             done += total
         return x.T, size
 
@@ -435,12 +561,12 @@ class Model(Packed):
         for a in range(0, len(leaf), BLOCK):
             n = size[a : a + BLOCK]
             path = np.repeat(firsts[leaf[a : a + BLOCK]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            node = nodes[path]
+            node = nodes.take(path, mode="clip")
             rows = x[:, done : done + len(node)]
-            rows[0], rows[4] = tree.odds[node], bits[path]
-            gate = known_odds(self.inner, WORD_PLACE_BITS, contexts[a : a + BLOCK], n, node.astype(np.uint64), rows[1:4], rows[0])
+            rows[0], rows[4] = tree.odds.take(node, mode="clip"), bits.take(path, mode="clip")
+            gate = known_odds(self.inner, WORD_PLACE_BITS, contexts[a : a + BLOCK], n, scattered(node), rows[1:4], rows[0])
             for k, own in enumerate(self.weighted[1]):
-                rows[k] = own[gate | rows[k].view(np.uint8)]
+                rows[k] = own.take(gate | rows[k].view(np.uint8), mode="clip")
             done += len(node)
         return x.T, size
 
@@ -455,35 +581,29 @@ class Model(Packed):
             total = int(n.sum())
             path = np.repeat(code.first[leaf[a : a + BLOCK]] - (np.cumsum(n) - n), n) + np.arange(total)
             rows = x[:, done : done + total]
-            rows[0], rows[4] = code.odds[path], code.bits[path]
-            gate = known_odds(self.table, PLACE_BITS, contexts[a : a + BLOCK], n, code.nodes[path], rows[1:4], np.int8(0))
+            rows[0], rows[4] = code.odds.take(path, mode="clip"), code.bits.take(path, mode="clip")
+            gate = known_odds(self.table, PLACE_BITS, contexts[a : a + BLOCK], n, scattered(code.nodes.take(path, mode="clip")), rows[1:4], np.int8(0))
             gate[np.abs(rows[3]) >= SURE * STEP] = 4 << 8
             for k, own in enumerate(self.weighted[2]):
-                rows[k] = own[gate | rows[k].view(np.uint8)]
+                rows[k] = own.take(gate | rows[k].view(np.uint8), mode="clip")
             done += total
         return x.T
 
 
 def known_odds(table: np.ndarray, places: int, contexts: np.ndarray, n: np.ndarray, node: np.ndarray, odds: np.ndarray, unknown: np.ndarray) -> np.ndarray:
-    """Fill in what a table says of decisions in each context, as slots has them; 256 times the number of contexts that know each."""
-    inner = np.uint64(len(table).bit_length() - 1 - places)
-    node *= _A
+    """Fill in what a table says of decisions in each context, as slots has them; 256 times the number of contexts that know each. node: scattered."""
+    inner = len(table).bit_length() - 1 - places
+    place, own = (contexts >> np.uint64(46 - places) << np.uint64(inner)).astype(np.uint32), short(contexts)
     count = np.zeros(len(node), np.int16)
     for k in range(odds.shape[0]):
-        slot = np.repeat(contexts[:, k], n)
-        h = slot ^ node
-        h *= _B
-        h ^= h >> np.uint64(32)
-        h *= _C
-        tag = h.astype(np.uint8)
-        slot >>= np.uint64(46 - places)
-        slot <<= inner
-        h >>= np.uint64(64) - inner
-        slot += h
-        entry = table.take(slot.view(np.int64), mode="clip")
+        h = hashed(np.repeat(own[:, k], n), node)
+        slot = np.repeat(place[:, k], n)
+        slot += h >> np.uint32(32 - inner)
+        entry = table.take(slot, mode="clip")
+        h >>= np.uint32(24 - inner)
         low = entry.astype(np.uint8)
         entry >>= np.uint16(8)
-        known = entry == tag
+        known = entry.astype(np.uint8) == h.astype(np.uint8)
         known &= low != 0
         count += known
         low ^= np.uint8(128)
@@ -492,20 +612,15 @@ def known_odds(table: np.ndarray, places: int, contexts: np.ndarray, n: np.ndarr
     return count
 
 
-def pieces(text: str | None) -> Iterator[tuple[list[bytes], list[bytes]]]:
-    """Words of a text as they are spelled, and as they are, in parts of about PART bytes; the end comes last."""
+def pieces(text: str | None) -> Iterator[tuple[bytes, bool]]:
+    """A text in parts of about PART bytes, and whether it ends there, which MARK tells."""
     data = (text or "").encode("utf-8", "surrogatepass").lower()
     at = 0
     while len(data) - at > PART:
         stop = min((k for k in (data.find(s, at + PART) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if k >= 0), default=len(data))
-        words = data[at:stop].split()
-        yield [w[k : k + PART] for w in words for k in range(0, len(w), PART)], words
+        yield data[at:stop], False
         at = stop
-    words = [*data[at:].split(), END]
-    if len(data) - at > PART:
-        yield [w[k : k + PART] for w in words for k in range(0, len(w), PART)], words
-    else:
-        yield words, words
+    yield data[at:] + b" " + MARK, True
 
 
 def mix(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -527,64 +642,62 @@ def mix(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     sign -= np.int8(1)
     laid = np.empty((width + 1, int(blocks.sum()), STRIDE), np.int8)
     after = np.cumsum(active) - active
-    by_step = after[np.arange(laid.shape[1]) - np.repeat(first, blocks)] + np.repeat(np.arange(count), blocks)  # where a block goes
+    come = np.empty(laid.shape[1], np.int64)  # the block of each place
+    come[after[np.arange(laid.shape[1]) - np.repeat(first, blocks)] + np.repeat(np.arange(count), blocks)] = np.arange(laid.shape[1])
     for k in range(width + 1):
         own = np.multiply(x.T[k], sign) if k < width else sign
-        padded = np.zeros((laid.shape[1], STRIDE), np.int8)
-        flat = padded.ravel()
+        padded = np.zeros(laid.shape[1] * STRIDE, np.int8)
         for a, at, n in zip(begin, (first * STRIDE).tolist(), sizes.tolist()):
-            flat[at : at + n] = own[a : a + n]
-        laid[k].view(f"V{STRIDE}")[by_step, 0] = padded.view(f"V{STRIDE}")[:, 0]
-    # the segments are the last axis, so that each operation runs over many neighbours in memory
-    weights = np.ones((width, count), np.float32)
-    refine = np.tile((2 / (1 + np.exp(-(np.arange(CELLS) - 16) / 2.0)) - 1).astype(np.float32), count + 1)  # of a one, less that of a zero
+            padded[at : at + n] = own[a : a + n]
+        padded.view(f"u{STRIDE}").take(come, out=laid[k].view(f"u{STRIDE}")[:, 0], mode="clip")
+    # the segments are the last axis, so that each operation runs over many neighbours in memory. Log odds are in units of a half, p is (1 + tanh) / 2,
+    # and what a decision is given, 0.7 p + 0.3 of the map's, is held as a multiple of 0.35, with the map's part as it is added. It is 2.6e-4 to 1 less 2.6e-4
+    weights = np.full((width, count), 0.5 / STEP, np.float32)
+    refine = np.tile((0.15 / 0.35 * (2 / (1 + np.exp(-(np.arange(CELLS) - 16) / 2.0)) - 1)).astype(np.float32), count + 1)  # of a one, less that of a zero
     cell = np.arange(count, dtype=np.int64) * CELLS + 16
-    out = np.zeros(count)
-    step, low, high, fade, share, rest = (np.float32(v) for v in (1 / STEP, 1e-5, 1 - 1e-5, 0.7, 0.15, MAP_RATE))
-    room, places = np.empty((5, STRIDE * count), np.float32), np.empty(STRIDE * count, np.int64)
-    inputs = np.empty(width * STRIDE * count, np.float32)
-    for t, n, full in zip(after.tolist(), active.tolist(), whole.tolist()):
-        now = laid[:, t : t + n].transpose(0, 2, 1)
-        own = np.multiply(now[:width], step, out=inputs[: width * STRIDE * n].reshape(width, STRIDE, n))
-        bit, dot, q, a, near = (r[: STRIDE * n].reshape(STRIDE, n) for r in (*room[:4], places))
-        bit[...] = now[width]
+    out, product, since = sizes * np.log(0.35), np.ones(count), count
+    most, four, middle, stay, rest, rate = (np.float32(v) for v in (3.95, 4, 0.5 / 0.35, 1 - MAP_RATE, MAP_RATE * 0.15 / 0.35, RATE * (0.5 / STEP) ** 2))
+    room, places = np.empty(4 * STRIDE * count, np.float32), np.empty(STRIDE * count, np.int64)
+    inputs = np.empty((width + 1) * STRIDE * count, np.float32)
+    for k, (t, n, full) in enumerate(zip(after.tolist(), active.tolist(), whole.tolist())):
+        every = inputs[: (width + 1) * STRIDE * n].reshape(width + 1, STRIDE, n)
+        every[...] = laid[:, t : t + n].transpose(0, 2, 1)
+        own, bit = every[:width], every[width]
+        dot, q, a, gain = room[: 4 * STRIDE * n].reshape(4, STRIDE, n)
+        near = places[: STRIDE * n].reshape(STRIDE, n)
         np.einsum("kn,kjn->jn", weights[:, :n], own, out=dot)
-        np.minimum(dot, np.float32(7.9), out=dot)
-        np.maximum(dot, np.float32(-7.9), out=dot)
-        np.add(dot, dot, out=q)
+        np.minimum(dot, most, out=dot)
+        np.maximum(dot, -most, out=dot)
+        np.multiply(dot, four, out=q)
         np.rint(q, out=q)
         q *= bit
         near[...] = q
         near += cell[:n]
-        np.negative(dot, out=dot)
-        np.exp(dot, out=dot)
-        dot += 1
-        p = np.reciprocal(dot, out=dot)
+        p = np.tanh(dot, out=dot)
         if full < n:  # a segment's last step
             past = bit[:, full:] == 0
             near[:, full:][past] = count * CELLS
         refine.take(near, out=a, mode="clip")
-        np.multiply(a, bit, out=q)
-        q += 1
-        q *= share
-        gain = room[4][: STRIDE * n].reshape(STRIDE, n)
-        np.multiply(p, fade, out=gain)
-        gain += q
-        np.minimum(gain, high, out=gain)
-        np.maximum(gain, low, out=gain)
+        np.multiply(a, bit, out=gain)
+        gain += p
+        gain += middle
         if full < n:
             gain[:, full:][past] = 1
-        for k in (STRIDE // 2, STRIDE // 4):  # products of four are far from the least number
-            gain[:k] *= gain[k : 2 * k]
-        out[:n] += np.log(gain[:k], out=gain[:k]).sum(0)
+        for half in (STRIDE // 2, STRIDE // 4, STRIDE // 8):  # products of eight and, of double precision, of sixty-four are far from the least number
+            gain[:half] *= gain[half : 2 * half]
+        product[:n] *= gain[0]
+        if k % 8 == 7:
+            out[:since] += np.log(product[:since])
+            product[:since], since = 1, n
         np.subtract(1, p, out=p)
         move = np.einsum("kjn,jn->kn", own, p)
-        move *= np.float32(RATE)
+        move *= rate
         weights[:, :n] += move
-        bit -= a
         bit *= rest
+        a *= stay
         a += bit
         refine[near] = a
+    out[:since] += np.log(product[:since])
     back = np.empty(count)
     back[order] = out
     return back
@@ -595,7 +708,7 @@ def score_texts(texts: list[str | None], model: Model) -> dict[str, list]:
     out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "base", "score", "n_bytes", "rare")}
     floor = float(np.log10(model.tokens + model.types + 1))
     held: tuple[list, ...] = ([], [], [])  # of classes, of bytes and of words: decisions, and the text of each segment with its size
-    waiting: list[tuple[int, list[bytes], tuple[int, int, int]]] = []
+    waiting: list[tuple[int, bytes, tuple[int, int, int]]] = []
 
     def hold(which: int, x: np.ndarray, owner: np.ndarray, size: np.ndarray) -> None:
         if not len(x):
@@ -609,9 +722,9 @@ def score_texts(texts: list[str | None], model: Model) -> dict[str, list]:
         """Turn the waiting parts into decisions."""
         if not waiting:
             return NOTHING
-        parts = [p for _, p, _ in waiting]
-        s = symbols(model.words, parts, [s for _, _, s in waiting])
-        part = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        words = cut([p for _, p, _ in waiting], PART)
+        s = symbols(model.words, words, [s for _, _, s in waiting])
+        part = np.repeat(np.arange(len(waiting)), words.count)
         text = np.array([k for k, _, _ in waiting], np.int64)[part]
         rare, heavy = np.flatnonzero(s.word < 0), s.word >= 0
         x, n = model.classes(s)
@@ -628,13 +741,18 @@ def score_texts(texts: list[str | None], model: Model) -> dict[str, list]:
             hold(2, x, text[at], n)
             inside = np.zeros(len(part))
         log = np.where(heavy, model.words.log[s.word], 0)
-        sums = [np.bincount(part, v, len(parts)).tolist() for v in (inside, log > 0, log)]
-        for (k, _, _), share, n, log in zip(waiting, *sums):
+        sums = [np.bincount(part, v, len(waiting)).tolist() for v in (inside, log > 0, log, words.size)]
+        for (k, _, _), share, n, log, size, tokens in zip(waiting, *sums, words.tokens.tolist()):
+            out["n_tokens"][k] += tokens
+            out["n_bytes"][k] += int(size) + tokens
             out["score"][k] += share
             out["known"][k] += int(n)
             out["base"][k] += log
-        for k, w in zip(text[rare].tolist(), s.rare):
-            out["rare"][k].append(w)
+        for k, w, piece in zip(text[rare].tolist(), s.rare, words.piece[rare].tolist()):
+            if not piece:
+                out["rare"][k].append(w)
+        for k, w in words.long:  # spelled in pieces, counted as one
+            out["rare"][waiting[k][0]].append(w)
         waiting.clear()
         if sum(len(x) for of in held for x, _ in of) >= TOGETHER:
             flush()
@@ -655,31 +773,20 @@ def score_texts(texts: list[str | None], model: Model) -> dict[str, list]:
         for k, gain in zip(segments[:, 0].tolist(), (mix(x.T, segments[:, 1]) / np.log(10)).tolist()):
             out["score"][k] += gain
 
-    size, long = 0, []
+    size = 0
     for k, t in enumerate(texts):
-        for c, zero in (("n_tokens", 0), ("known", 0), ("base", 0.0), ("score", 0.0), ("n_bytes", 0)):
+        for c, zero in (("n_tokens", 0), ("known", 0), ("base", 0.0), ("score", 0.0), ("n_bytes", -1)):
             out[c].append(zero)
         out["rare"].append([])
         state = NOTHING
-        for spelled, words in pieces(t):
-            own = sum(map(len, words))
-            out["n_tokens"][k] += len(words)
-            out["n_bytes"][k] += own + len(words)
-            for w in words if spelled is not words else ():
-                if len(w) > PART and w not in model.words.word:
-                    long.append((k, w))
-            waiting.append((k, spelled, state))
-            size += own
-            if words[-1:] != [END] or size >= PART:
+        for own, ends in pieces(t):
+            waiting.append((k, own, state))
+            size += len(own)
+            if not ends or size >= PART:
                 state, size = read(), 0
-        out["n_bytes"][k] -= 1
-        out["base"][k] -= out["n_tokens"][k] * floor
     read()
     flush()
-    for k, w in long:  # spelled in parts, counted as one
-        for p in range(0, len(w), PART):
-            out["rare"][k].remove(w[p : p + PART])
-        out["rare"][k].append(w)
+    out["base"] = [base - n * floor for base, n in zip(out["base"], out["n_tokens"])]
     return out
 
 
@@ -740,8 +847,9 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def block(place: int, part: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Sorted keys by their differences, with the bytes of the same rank together, which zstd shortens well."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    data = zstandard.ZstdCompressor(level=1).compress(steps + n.astype("<f4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    steps, own = np.diff(keys, prepend=np.uint64(0)), n.astype(np.float32).view(np.uint32)
+    ranks = [(steps >> np.uint64(8 * k)).astype(np.uint8) for k in range(8)] + [(own >> np.uint32(8 * k)).astype(np.uint8) for k in range(4)]
+    data = zstandard.ZstdCompressor(level=1).compress(np.concatenate(ranks))
     return pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([part], pa.int32()), pa.array([data], pa.binary())], ["place", "part", "data"])
 
 
@@ -843,7 +951,7 @@ def _tables(texts: DataFrame, counts: DataFrame, words: Words, tokens: int, type
         seen, inner = np.zeros(rows * code.classes, np.float32), Pairs()
 
         def add(waiting: list) -> tuple[int, int, int]:
-            s = symbols(code, [p for p, _ in waiting], [s for _, s in waiting]) if waiting else None
+            s = symbols(code, cut([p for p, _ in waiting], PART), [s for _, s in waiting]) if waiting else None
             waiting.clear()
             if s is None:
                 return NOTHING
@@ -858,10 +966,10 @@ def _tables(texts: DataFrame, counts: DataFrame, words: Words, tokens: int, type
                 waiting, size, state = [], 0, NOTHING
                 for t in part.column("text").to_pylist():
                     state = NOTHING
-                    for own, _ in pieces(t):
+                    for own, ends in pieces(t):
                         waiting.append((own, state))
-                        size += sum(map(len, own))
-                        if own[-1:] != [END] or size >= PART:
+                        size += len(own)
+                        if not ends or size >= PART:
                             state, size = add(waiting), 0
                 add(waiting)
                 if inner.size > HELD // 2:
@@ -877,7 +985,9 @@ def _tables(texts: DataFrame, counts: DataFrame, words: Words, tokens: int, type
         pairs, code = Pairs(), shared.value
         for batch in batches:
             for part in slices(batch, 20_000):
-                own = [(w, 1 if w in code.word else n) for w, n in zip(part.column("word").to_pylist(), part.column("n").to_pylist()) if w != END]
+                own = [(w, n) for w, n in zip(part.column("word").to_pylist(), part.column("n").to_pylist()) if w != END]
+                heavy = code.lexicon.find(cut([b" ".join([w for w, _ in own])])) >= 0
+                own = [(w, 1 if h else n) for (w, n), h in zip(own, heavy.tolist())]
                 own = [(w[k : k + PART], n) for w, n in own for k in range(0, len(w), PART)]
                 while own:  # up to PART bytes at once
                     size, some = 0, 0

@@ -551,6 +551,32 @@ def test_lm_long_texts_in_parts(spark, monkeypatch):
     assert got["base"] == pytest.approx(want["base"])
 
 
+def test_lm_words_are_found_as_in_a_dictionary():
+    """Short and long words, such as end with zero bytes, and many that are not there, side by side; blocks come back as they were."""
+    rnd = random.Random(12)
+    word = lambda: bytes(rnd.choice(b"ab\0\x0f\x10\xc3") for _ in range(rnd.randint(1, 20)))
+    names = [lm.END, *{word() for _ in range(5000)}]
+    number = {w: k for k, w in enumerate(names)}
+    asked = [*names, *(word() for _ in range(20_000)), b"\0", b"a\0", b"\0" * 16, b"x" * 40]
+    joined = [b"  ".join([lm.MARK if w == lm.END else w for w in asked]), b"", b"\n \t", b"a"]
+    found = lm.Lexicon(names).find(lm.cut(joined))
+    assert found.tolist() == [number.get(w, -1) for w in [*asked, b"a"]]
+    keys, n = np.array([3, 1 << 40, (1 << 64) - 1], np.uint64), np.array([1, 2.5, 1e9], np.float32)
+    back = lm.unblocked(lm.block(0, 0, keys, n).column("data")[0].as_py())
+    assert (back[0] == keys).all() and (back[1] == n).all()
+
+
+def test_lm_long_words_that_end_with_a_frequent_one(spark, monkeypatch):
+    """A word that is spelled in pieces counts as a whole, whatever its last piece is."""
+    model, _ = lm.learn(spark.createDataFrame([("a b xx yz abc " + "x" * 1001,), ("a c",)], "text string"))
+    monkeypatch.setattr(lm, "PART", 1000)
+    texts = ["y" * 1000 + "a b", "x" * 1001 + " b"]
+    got = lm.score_texts(texts, model)
+    assert got["n_tokens"] == [3, 3]
+    assert got["rare"] == [[b"y" * 1000 + b"a"], [b"x" * 1001]]  # which meet their counts in the join
+    assert got["known"] == [2, 2]  # b and the end
+
+
 SOUP = "<body><div><div><a href=/>Home</a> <a href=/x>More {0}</a></div></div><div>Buy {1} now</div><div><div><h1>Title {0}</h1><div>One {0} of the text, and it goes on for a while &amp; more.</div><div>Two {0} likewise a longer block of words.</div></div></div><div>Host words</div></body>"
 
 
